@@ -56,7 +56,9 @@ def lookup(
     ``count`` is the table's column with the rows that each key has in ``rows``
     and ``total`` their sum. Keys with over ``total / HOT_SHARE`` rows, which
     are at most ``HOT_SHARE`` by counting, are broadcast; their rows, and rows
-    with a null key, get a salt, so that the shuffled join stays even.
+    with a null key, get a salt, so that the shuffled join stays even. The salt
+    is hashed with the key: a constant on one side would be folded away and the
+    join dealt out by the key alone.
     """
     packed = F.struct(*[F.col(v) for v in values])
     hot = F.broadcast(
@@ -65,13 +67,13 @@ def lookup(
         )
     )
     cold = table.where(F.col(count) * HOT_SHARE <= F.lit(total)).select(
-        F.col(key).alias("_cold_key"), F.lit(0).alias("_cold_salt"), packed.alias("_cold")
+        F.col(key).alias("_cold_key"), F.xxhash64(key, F.lit(0)).alias("_cold_salt"), packed.alias("_cold")
     )
     salt = F.lit(1) + F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALTS)).cast("int")
     spread = F.col("_hot").isNotNull() | F.col(key).isNull()
     joined = (
         rows.join(hot, F.col(key) == F.col("_hot_key"), "left")
-        .withColumn("_salt", F.when(spread, salt).otherwise(F.lit(0)))
+        .withColumn("_salt", F.xxhash64(key, F.when(spread, salt).otherwise(F.lit(0))))
         .join(cold, (F.col(key) == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left")
     )
     found = F.coalesce(F.col("_hot"), F.col("_cold"))
