@@ -279,12 +279,12 @@ def _smart(words: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _porter_all(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda ts: None if ts is None else [porter_stem(t) for t in ts])
+    return tokens.map(lambda ts: None if ts is None else [t and porter_stem(t) for t in ts])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _smart_all(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda ts: None if ts is None else [smart_stem(t) for t in ts])
+    return tokens.map(lambda ts: None if ts is None else [t and smart_stem(t) for t in ts])
 
 
 def stem_word(word: Column, stemmer: str = "porter") -> Column:

@@ -69,7 +69,7 @@ def cosine_bags(a: Column, b: Column) -> Column:
 
 def gram_keys(tokens: Column, n: int) -> Column:
     """n-grams as strings that keep token boundaries, which sets of arrays would compare one by one."""
-    return F.transform(windows(tokens, n), F.to_json)
+    return F.transform(windows(tokens, n), lambda g: F.to_json(g))
 
 
 def ngram_cosine(a: Column, b: Column, n: int) -> Column:
