@@ -4,8 +4,8 @@ Every node may take at most ``max_epochs`` times its documents' tokens. From
 the root down, a parent's budget is shared among its children by weight; what a
 child cannot take goes to its siblings, and only what a whole subtree cannot
 take reaches the level above. Within a leaf each epoch has its own seeded
-order; whole epochs are taken while the budget lasts, then the longest prefix
-that fits of the next one.
+order; whole epochs are taken while the budget lasts, then, if tokens are left,
+the longest prefix that fits of the next one.
 
 Prefix sums run in two steps, over 1024 slices of the order's hash per leaf and
 then inside a slice, so a leaf with a third of all rows still spreads out.
@@ -130,7 +130,7 @@ def draw(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         leaf,
         "n",
         F.expr("if(tokens > 0, budget div tokens, 0)").cast("int").alias("whole"),
-        F.expr("if(tokens > 0, budget % tokens, -1)").alias("rest"),
+        F.expr("if(tokens > 0 AND budget % tokens > 0, budget % tokens, -1)").alias("rest"),
     )
     plan = materialise(plan, "mix-plan")
     rows = lookup(units.withColumn("leaf", leaf), plan, "leaf", ["whole", "rest"], "n", n)
