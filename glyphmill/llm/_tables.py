@@ -8,46 +8,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glyphmill.sources.scratch import materialise, scratch_path  # noqa: F401
+
 HOT_SHARE = 1024
 """A key is hot when it holds more than one row in so many; at most as many keys can be hot."""
 
 SALTS = 4096
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path under the scratch folder that is removed when the driver's JVM ends."""
-    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the scratch folder once and read it back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def lookup(
     rows: DataFrame, table: DataFrame, key: str, values: list[str], count: str, total: int
 ) -> DataFrame:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,6 +41,8 @@ _SENSITIVE = re.compile(
     re.I | re.A,
 )
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_DIGIT = re.compile("[0-9]")
+_LETTER = re.compile("[A-Za-z]")
 _IDENTIFIERS = (
     " public static final void string integer boolean function return class import export const let var "
     "self this null undefined true false None True False async await request response session config "
@@ -75,24 +78,31 @@ def patterns(text: str) -> list[tuple[str, int, int]]:
 
 
 def novel(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Incompressible strings in sensitive context that touch no span of ``taken``."""
+    """Incompressible strings in sensitive context that touch no span of ``taken``.
+
+    The context is a sensitive word that ends at most ``REACH`` characters
+    before the string, or inside it with 16 characters or more to come.
+    """
+    words = [m.end() for m in _SENSITIVE.finditer(text)]
+    if not words:
+        return []
     spans = sorted((a, b) for _, a, b in taken)
-    found: dict[tuple[int, int], None] = {}
-    for word in _SENSITIVE.finditer(text):
-        at = word.end()
-        while (m := _RUN.search(text, at)) and m.start() <= word.end() + REACH:
-            at = m.end()
-            a, b = m.span()
-            while a > 0 and _RUN.match(text, a - 1) and _RUN.match(text, a - 1).end() == b:
-                a -= 1  # the run may have begun before the word ended
-            s = text[a:b]
-            if (a, b) in found or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
-                continue
-            if any(x < b and a < y for x, y in spans):
-                continue
-            if novelty(s, text[max(0, a - AROUND) : a] + text[b : b + AROUND]) >= NOVEL:
-                found[a, b] = None
-    return [("novel", a, b) for a, b in found]
+    found = []
+    at = 0
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        near = bisect_left(words, a - REACH)
+        if near == len(words) or words[near] > b - 16:
+            continue
+        if not (_DIGIT.search(m[0]) and _LETTER.search(m[0])):
+            continue
+        while at < len(spans) and spans[at][1] <= a:
+            at += 1
+        if any(x < b and a < y for x, y in spans[at : at + len(KINDS)]):
+            continue
+        if novelty(m[0], text[max(0, a - AROUND) : a] + text[b : b + AROUND]) >= NOVEL:
+            found.append(("novel", a, b))
+    return found
 
 
 def scan(text: str | None) -> list[tuple[str, int, int]]:
