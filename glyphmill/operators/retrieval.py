@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from glyphmill.operators import corpus
 from glyphmill.sources.tables import load_relations, load_settings, save_relations, save_settings
 
+K1, B = 1.2, 0.75
+HALF = 0.5
 RESULT = "qid long, rank int, doc_id long, score double"
 
 
@@ -185,8 +187,8 @@ class Bm25Model(_Model):
     terms: DataFrame
     num_docs: int
     avg_len: float
-    k1: float = 1.2
-    b: float = 0.75
+    k1: float = K1
+    b: float = B
 
     @classmethod
     def fit(cls, docs: DataFrame) -> Bm25Model:
@@ -195,13 +197,14 @@ class Bm25Model(_Model):
         posted = corpus.postings(docs)
         n = F.lit(float(stats.num_docs))
         d = F.least(F.col("df").cast("double"), n)
-        terms = corpus.term_stats(posted).withColumn("idf", F.log1p((n - d + 0.5) / (d + 0.5)))
+        with_it, without = d + HALF, n - d + HALF
+        terms = corpus.term_stats(posted).withColumn("idf", F.log1p(without / with_it))
         return cls(posted, terms, stats.num_docs, stats.avg_len)
 
     def _settings(self) -> dict:
         return {"num_docs": self.num_docs, "avg_len": self.avg_len}
 
-    def with_parameters(self, k1: float = 1.2, b: float = 0.75) -> Bm25Model:
+    def with_parameters(self, k1: float = K1, b: float = B) -> Bm25Model:
         if not k1 >= 0 or not 0 <= b <= 1 or math.isinf(k1):
             raise ValueError("k1 must not be negative and b must be from 0 to 1")
         return Bm25Model(self.postings, self.terms, self.num_docs, self.avg_len, k1, b)

@@ -23,6 +23,8 @@ from glyphmill.operators import corpus
 from glyphmill.sources.scratch import materialise
 
 EXACT_TOKENS = 2_000_000
+TOPICS, SWEEPS = 5, 500
+ALPHA, BETA = 0.1, 0.01
 ASSIGNMENTS = "doc_id long, pos int, term string, topic int"
 
 
@@ -143,10 +145,10 @@ def _check(alpha: float, beta: float, iterations: int) -> None:
 
 def fit_lda(
     docs: DataFrame,
-    num_topics: int = 5,
-    iterations: int = 500,
-    alpha: float = 0.1,
-    beta: float = 0.01,
+    num_topics: int = TOPICS,
+    iterations: int = SWEEPS,
+    alpha: float = ALPHA,
+    beta: float = BETA,
     seed: int = 42,
     mode: str = "exact",
 ) -> LdaModel:
@@ -178,7 +180,7 @@ def _exact(tokens: DataFrame, k: int, sweeps: int, alpha: float, beta: float, se
         topics = gibbs(np.split(codes, cuts), len(vocab), k, sweeps, alpha, beta, seed)
         return group.assign(topic=np.concatenate(topics).astype("int32"))[["doc_id", "pos", "term", "topic"]]
 
-    return materialise(tokens.groupBy(F.lit(0)).applyInPandas(run, ASSIGNMENTS), "lda")
+    return materialise(tokens.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, ASSIGNMENTS), "lda")
 
 
 def _sweep(k: int, vocab: int, alpha: float, beta: float, seed: int, sweep: int):

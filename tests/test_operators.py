@@ -43,7 +43,7 @@ def test_keywords(corpus_of):
 
 
 def test_ngram_ranking(corpus_of):
-    docs = corpus_of(["a", "b", "a", "b", "c"])
+    docs = corpus_of("a b a b c".split())
     assert [tuple(r.gram) for r in corpus.top_ngrams(docs, 2, 2).collect()] == [("a", "b"), ("b", "a")]
     assert corpus.top_ngrams(docs, 2, 0).count() == 0
 
