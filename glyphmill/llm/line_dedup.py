@@ -205,9 +205,13 @@ def _strip(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, text`` without the deleted lines, ``n_lines`` before, ``removed`` line numbers."""
+    """``doc_id, text`` without the deleted lines, ``n_lines`` before, ``removed`` line numbers.
+
+    The deletions grow with the corpus, so texts meet them in a merge join at
+    every size and not in a broadcast where the corpus happens to be small.
+    """
     gone = materialise(removed_lines(docs, min_words), "removed-lines")
-    joined = keyed(docs).join(gone, ["did", "tkey"], "left").select("doc_id", "text", "removed")
+    joined = keyed(docs).join(gone.hint("merge"), ["did", "tkey"], "left").select("doc_id", "text", "removed")
     return joined.mapInArrow(_strip, "doc_id long, text string, n_lines int, removed array<int>")
 
 
