@@ -76,19 +76,20 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def surviving(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``decisions`` keep, once each, with their columns."""
+    """The rows of ``docs`` that ``decisions`` keep, once each, with their columns.
+
+    One key of digest and ``doc_id`` serves both the join and the pass over
+    repeated rows, so that texts are shuffled once.
+    """
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     keep = decisions.where("kept").select(
-        F.col("doc_id").alias("_keep_doc"), F.col("digest").alias("_keep_digest")
-    )
-    columns = docs.columns
-    tagged = docs.withColumn("_row_digest", sha256(F.col("text")))
-    hit = tagged.join(
-        keep,
-        F.col("doc_id").eqNullSafe(F.col("_keep_doc")) & (F.col("_row_digest") == F.col("_keep_digest")),
-        "left_semi",
+        F.concat(F.lower(F.hex("digest")), F.lit(":"), name).alias("_row_key")
     )
-    first = Window.partitionBy("doc_id", "_row_digest").orderBy(F.lit(0))
-    return hit.withColumn("_copy", F.row_number().over(first)).where("_copy = 1").select(*columns)
+    tagged = docs.withColumn("_row_key", F.concat(digest, F.lit(":"), name))
+    first = Window.partitionBy("_row_key").orderBy(F.lit(0))
+    hit = tagged.join(keep, "_row_key", "left_semi").withColumn("_copy", F.row_number().over(first))
+    return hit.where("_copy = 1").select(*docs.columns)
 
 
 ORACLE_SQL = """

@@ -136,16 +136,20 @@ def quality_rules(docs: DataFrame, host: str = "source", max_rate: float = MAX_H
 
 
 def passing(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
+    """The rows of ``docs`` that stay, with their columns.
+
+    Rows are written once with their verdict, as the hosts' rates are needed
+    before any row can pass and the measures cost more than the copy.
+    """
     columns = docs.columns
-    rows = measured(docs, [host])
-    verdicts = materialise(host_verdicts(rows, host, max_rate), "quality-hosts")
-    rejected = verdicts.where(~F.col("host_ok")).select(F.col(host).alias("_bad_host"))
     clash = {c: f"_own_{c}" for c in columns if c in (*MEASURES, "base_failed")}
     own = [clash.get(c, c) for c in columns]
+    rows = measured(docs.withColumnsRenamed(clash), own).select(*own, "base_failed")
+    rows = materialise(rows, "quality-docs")
+    verdicts = materialise(host_verdicts(rows, host, max_rate), "quality-hosts")
+    rejected = verdicts.where(~F.col("host_ok")).select(F.col(host).alias("_bad_host"))
     return (
-        measured(docs.withColumnsRenamed(clash), own)
-        .where(~F.col("base_failed"))
+        rows.where(~F.col("base_failed"))
         .join(rejected, F.col(host) == F.col("_bad_host"), "left_anti")
         .select(*[F.col(o).alias(c) for o, c in zip(own, columns, strict=True)])
     )
