@@ -54,3 +54,4 @@ def test_registered():
     names = list(queries.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(names)
+    assert all(isinstance(sql, str) for sql in queries.oracle_sql().values())
