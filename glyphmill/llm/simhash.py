@@ -16,8 +16,9 @@ large-star and small-star joins, materialised after each round.
 Defined results: null and word-free texts have fingerprint zero and link like
 any other; fewer words than a shingle give one shingle of them all; words may
 be of any length and texts are read in blocks; repeated rows share a component;
-a null ``doc_id`` is kept and never names a component unless alone; an empty
-table gives an empty result; further columns of the input are ignored.
+a null ``doc_id`` is kept and never names a component unless alone; of each
+component exactly one row survives, repeated rows and repeated ids included; an
+empty table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm._tables import lookup, materialise
@@ -84,8 +85,13 @@ def _bit_counts(hashes: list[int]) -> np.ndarray:
     return np.ascontiguousarray(sums).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
 
 
+def text_key(text: Column) -> Column:
+    """Tells apart rows that share a ``doc_id``."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp``: the unsigned fingerprint's bits as a signed long."""
+    """``doc_id, tkey, fp``: the text's key, and the unsigned fingerprint's bits as a signed long."""
 
     def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks:
@@ -93,10 +99,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 some = block.slice(at, 500)
                 fps = np.asarray([fingerprint(t) for t in some.column(1).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], names=["doc_id", "fp"]
+                    [some.column(0).cast(pa.int64()), some.column(2), pa.array(fps.view(np.int64))],
+                    names=["doc_id", "tkey", "fp"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("tkey"))
+    return keyed.mapInArrow(run, "doc_id long, tkey long, fp long")
 
 
 def tally(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -272,11 +280,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.groupBy("v").agg(F.min("u").alias("root")).withColumnRenamed("v", "node")
 
 
-def near_duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row of ``docs``."""
+def _grouped(docs: DataFrame, heavy: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows ``doc_id, tkey, fp``; fingerprints ``fp, least, n, root``; components ``root, first``.
+
+    ``first`` is the component's first row: ids before nulls, the least id, then the text's key.
+    """
     rows = materialise(fingerprints(docs), "simhash-rows")
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tkey")
     groups = materialise(
-        rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-groups"
+        rows.groupBy("fp").agg(F.min(own).alias("least"), F.count(F.lit(1)).alias("n")), "simhash-groups"
     )
     n = groups.count()
     roots = components(links(groups.select("fp"), n, heavy))
@@ -284,9 +296,30 @@ def near_duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
         "fp", "least", "n", F.coalesce("root", "fp").alias("root")
     )
     rooted = materialise(rooted, "simhash-rooted")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows, rooted, rooted.groupBy("root").agg(F.min("least").alias("first"))
+
+
+def near_duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """``doc_id, fp, component_id`` for every row of ``docs``."""
+    rows, rooted, firsts = _grouped(docs, heavy)
+    named = firsts.select("root", F.col("first.doc_id").alias("component_id"))
     known = rooted.join(named, "root").select("fp", "n", "component_id")
-    return lookup(rows, known, "fp", ["component_id"], "n", rows.count())
+    return lookup(rows.drop("tkey"), known, "fp", ["component_id"], "n", rows.count())
+
+
+def surviving(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """One row of ``docs`` for each component, with its columns.
+
+    Only components' first rows meet the texts, by one key that also serves the
+    pass over repeated rows; so texts are shuffled once.
+    """
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    keep = _grouped(docs, heavy)[2].select("first.*")
+    keep = keep.select(name.alias("_row_name"), F.col("tkey").alias("_row_text"))
+    tagged = docs.withColumns({"_row_name": name, "_row_text": text_key(F.col("text"))})
+    first = Window.partitionBy("_row_name", "_row_text").orderBy(F.lit(0))
+    hit = tagged.join(keep, ["_row_name", "_row_text"], "left_semi").withColumn("_copy", F.row_number().over(first))
+    return hit.where("_copy = 1").select(*docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -111,3 +111,19 @@ def test_components_of_chain_and_hub(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)]
     roots = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(roots[i] == 0 for i in range(1, 201)) and all(roots[1000 + i] == 1000 for i in range(1, 300))
+
+
+def test_one_row_of_each_component_survives(docs, rows, none, spark):
+    left = simhash.surviving(docs)
+    assert left.columns == docs.columns
+    roots = naive_roots([naive_fingerprint(r[1]) for r in rows])
+    best = {}
+    for r, root in zip(rows, roots):
+        best[root] = min(best.get(root, (True, 0)), (r[0] is None, r[0] or 0))
+    got = [(r.doc_id is None, r.doc_id or 0) for r in left.collect()]
+    assert sorted(got) == sorted(best.values()) and len(got) < len(rows)
+    assert simhash.surviving(none).count() == 0
+    twice = "one two three four five six"
+    table = [(1, twice), (1, twice), (1, twice.upper()), (None, "alone here"), (None, twice), (1, "quite another text")]
+    kept = simhash.surviving(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert sorted(r.text.lower() for r in kept) == ["alone here", twice, "quite another text"]
