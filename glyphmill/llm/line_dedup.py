@@ -1,14 +1,21 @@
 """Line dedup across documents by pairwise patience alignment.
 
 A line's key hashes the line and which occurrence it is in its document, so
-that keys are unique in a document, as patience alignment wants its anchors. A
-key's owner is the earliest document that holds it. Each document is paired
-with the owners of its keys and with nobody else: that is one pair entry per
-shared line, however often the line occurs in the corpus, so that common lines
-need no cap. A pair's anchors are put in document order, the longest run that
-increases on the owner's side is the alignment, and its common blocks, runs on
-one diagonal of ``min_words`` words or more, are deleted from the later
-document. Owners keep their lines.
+that keys are unique in a document, as patience alignment wants its anchors.
+Runs of lines have keys as well: from each line of under ``min_words`` words on
+and up to it, the shortest run of consecutive lines that has as many words, and
+any two lines up to ``MAX_GAP`` apart that have as many. A key's owner is the
+earliest document that holds it. Each document is paired with the owners of its
+keys and with nobody else: that is one pair entry per shared key, however often
+it occurs in the corpus, so that common lines need no cap. A block of short
+lines that two later documents share has one owner by its runs, even if its
+lines have several. A pair's anchors, the lines of its keys, are put in
+document order, the longest run that increases on the owner's side is the
+alignment, and its common blocks, runs on one diagonal of ``min_words`` words or
+more, are deleted from the later document. Owners keep their lines.
+
+Not found: a block of three or more lines, with gaps, whose runs and pairs of
+lines each have under ``min_words`` words, when its lines have several owners.
 
 Defined results: null text is empty; lines without a word are neither matched
 nor deleted; lines are compared without the blanks around them; later means a
@@ -32,43 +39,74 @@ from glyphmill.llm._tables import lookup, materialise
 MIN_WORDS = 10
 MAX_GAP = 3
 _FIRST = -(1 << 63)
-LINES = "did long, tkey long, line int, ord int, words int, h binary"
+KEYS = "did long, tkey long, ord int, step int, words array<int>, lines array<int>, h binary"
 
 
-def line_keys(text: str) -> Iterator[tuple[int, int, int, bytes]]:
-    """``(line, ord, words, key)`` of the lines with a word."""
+def runs_of(words: list[int], min_words: int) -> Iterator[tuple[int, int, int]]:
+    """``(first, step, length)`` of the runs with keys of their own, each once."""
+    found = set()
+    for i, n in enumerate(words):
+        if n >= min_words:
+            continue
+        for way in (1, -1):
+            at, total = i, n
+            while total < min_words and 0 <= at + way < len(words):
+                at += way
+                total += words[at]
+            if total >= min_words:
+                found.add((min(i, at), 1, abs(at - i) + 1))
+            for step in range(2, MAX_GAP + 1):
+                at = i + way * step
+                if 0 <= at < len(words) and n + words[at] >= min_words:
+                    found.add((min(i, at), step, 2))
+    yield from sorted(found)
+
+
+def keys_of(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, list[int], list[int], bytes]]:
+    """``(ord, step, words, lines, key)`` of the lines with a word and of their runs."""
+    lines: list[int] = []
+    words: list[int] = []
+    keys: list[bytes] = []
     seen: dict[bytes, int] = {}
-    at = 0
     for i, line in enumerate(text.encode().split(b"\n")):
-        words = line.split()
-        if not words:
+        n = len(line.split())
+        if not n:
             continue
-        bare = line.strip()
-        digest = xxhash.xxh3_128_digest(bare)
+        digest = xxhash.xxh3_128_digest(line.strip())
         again = seen.get(digest, 0)
         seen[digest] = again + 1
-        yield i, at, len(words), xxhash.xxh3_128_digest(b"%d:" % again + digest)
-        at += 1
+        lines.append(i)
+        words.append(n)
+        keys.append(xxhash.xxh3_128_digest(b"%d:" % again + digest))
+    for at, key in enumerate(keys):
+        yield at, 1, words[at : at + 1], lines[at : at + 1], key
+    for at, step, length in runs_of(words, min_words):
+        part = slice(at, at + step * (length - 1) + 1, step)
+        yield at, step, words[part], lines[part], xxhash.xxh3_128_digest(b"%d:" % step + b"".join(keys[part]))
 
 
-def _lines(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks:
-        for begin in range(0, block.num_rows, 500):
-            some = block.slice(begin, 500)
-            out: list[list] = [[] for _ in range(6)]
-            for did, tkey, text in zip(*(c.to_pylist() for c in some.columns), strict=True):
-                for line, at, words, key in line_keys(text or ""):
-                    for col, v in zip(out, (did, tkey, line, at, words, key), strict=True):
-                        col.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
-                names=["did", "tkey", "line", "ord", "words", "h"],
-            )
+def _keys(min_words: int):
+    def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks:
+            for begin in range(0, block.num_rows, 500):
+                some = block.slice(begin, 500)
+                out: list[list] = [[] for _ in range(7)]
+                for did, tkey, text in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                    for key in keys_of(text or "", min_words):
+                        for col, v in zip(out, (did, tkey, *key), strict=True):
+                            col.append(v)
+                ints = pa.list_(pa.int32())
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), ints, ints, pa.binary()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
+                    names=["did", "tkey", "ord", "step", "words", "lines", "h"],
+                )
+
+    return run
 
 
 def align(anchors: list[tuple[int, int, int, int]], min_words: int = MIN_WORDS) -> list[int]:
-    """Lines to delete, from ``(ord, owner's ord, words, line)`` sorted by ``ord``.
+    """Lines to delete, from ``(ord, owner's ord, words, line)`` sorted by ``ord``, the last owner's ord first.
 
     The longest increasing subsequence of the owner's side is found by patience
     sorting; blocks are its runs of one diagonal with gaps below ``MAX_GAP``.
@@ -108,14 +146,14 @@ def _deletions(min_words: int):
     def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc: tuple | None = None
         pair: tuple | None = None
-        anchors: list[tuple[int, int, int, int]] = []
+        anchors: set[tuple[int, int, int, int]] = set()
         removed: list[int] = []
         out: list[list] = [[], [], []]
 
         def close_pair() -> None:
             nonlocal anchors
-            removed.extend(align(anchors, min_words))
-            anchors = []
+            removed.extend(align(sorted(anchors, key=lambda x: (x[0], -x[1])), min_words))
+            anchors = set()
 
         def close_doc() -> None:
             nonlocal removed
@@ -134,7 +172,7 @@ def _deletions(min_words: int):
             return made
 
         for block in blocks:
-            for did, tkey, o_did, o_tkey, at, o_at, words, line in zip(
+            for did, tkey, o_did, o_tkey, at, o_at, step, words, lines in zip(
                 *(c.to_pylist() for c in block.columns), strict=True
             ):
                 if (did, tkey, o_did, o_tkey) != pair:
@@ -143,7 +181,8 @@ def _deletions(min_words: int):
                         close_doc()
                         doc = (did, tkey)
                     pair = (did, tkey, o_did, o_tkey)
-                anchors.append((at, o_at, words, line))
+                for k, (n, line) in enumerate(zip(words, lines, strict=True)):
+                    anchors.add((at + k * step, o_at + k * step, n, line))
             if len(out[0]) > 5000:
                 yield batch()
         close_pair()
@@ -161,17 +200,18 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``did, tkey, removed array<int>`` of the documents that lose lines."""
-    lines = materialise(keyed(docs).select("did", "tkey", "text").mapInArrow(_lines, LINES).distinct(), "lines")
+    texts = keyed(docs).select("did", "tkey", "text")
+    keys = materialise(texts.mapInArrow(_keys(min_words), KEYS).distinct(), "line-keys")
     owners = (
-        lines.groupBy("h")
+        keys.groupBy("h")
         .agg(F.min(F.struct("did", "tkey", "ord")).alias("o"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .select("h", "n", F.col("o.did").alias("o_did"), F.col("o.tkey").alias("o_tkey"), F.col("o.ord").alias("o_ord"))
     )
     owners = materialise(owners, "line-owners")
-    shared = lookup(lines, owners, "h", ["o_did", "o_tkey", "o_ord"], "n", lines.count())
+    shared = lookup(keys, owners, "h", ["o_did", "o_tkey", "o_ord"], "n", keys.count())
     pairs = shared.where("o_did IS NOT NULL AND NOT (o_did = did AND o_tkey = tkey)").select(
-        "did", "tkey", "o_did", "o_tkey", "ord", "o_ord", "words", "line"
+        "did", "tkey", "o_did", "o_tkey", "ord", "o_ord", "step", "words", "lines"
     )
     return (
         pairs.repartition("did", "tkey")

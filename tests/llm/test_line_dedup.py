@@ -65,3 +65,18 @@ def test_common_lines_stay_linear(spark):
     texts = ["\n".join([*PASSAGE, *lines_of(f"d{i}", 2)]) for i in range(300)]
     got = run(spark, *texts)
     assert got[0].removed == [] and all(len(got[i].removed) == 8 for i in range(1, 300))
+
+
+def test_short_lines_of_several_owners(spark):
+    block = [f"short line {i}" for i in range(6)]
+    owners = [f"{x}\n" + "\n".join(lines_of(f"o{i}", 2)) for i, x in enumerate(block)]
+    b, c = lines_of("b", 3), lines_of("c", 3)
+    got = run(spark, *owners, "\n".join(b + block), "\n".join(c[:1] + block + c[1:]))
+    assert got[6].removed == []
+    assert got[7].text == "\n".join(c)
+
+
+def test_gap_between_lines_of_several_owners(spark):
+    x, y = "first of two lines here", "second of two lines here"
+    got = run(spark, f"{x}\na", f"{y}\nb", f"{x}\nc\n{y}", f"d\n{x}\ne\n{y}")
+    assert got[2].removed == [] and got[3].text == "d\ne"
