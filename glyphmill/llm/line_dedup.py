@@ -14,6 +14,10 @@ document order, the longest run that increases on the owner's side is the
 alignment, and its common blocks, runs on one diagonal of ``min_words`` words or
 more, are deleted from the later document. Owners keep their lines.
 
+With ``every_copy``, as in the query, there are keys of content alone as well,
+and a pair is aligned again without its deleted lines until no block is left, so that second
+and crossed copies go as well.
+
 Not found: a block of three or more lines, with gaps, whose runs and pairs of
 lines each have under ``min_words`` words, when its lines have several owners.
 
@@ -27,7 +31,7 @@ of the input are ignored.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -62,11 +66,14 @@ def runs_of(words: list[int], min_words: int) -> Iterator[tuple[int, int, int]]:
     yield from sorted(found)
 
 
-def keys_of(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, list[int], list[int], bytes]]:
+def keys_of(
+    text: str, min_words: int = MIN_WORDS, every_copy: bool = False
+) -> Iterator[tuple[int, int, list[int], list[int], bytes]]:
     """``(ord, step, words, lines, key)`` of the lines with a word and of their runs."""
     lines: list[int] = []
     words: list[int] = []
     keys: list[bytes] = []
+    bare: list[bytes] = []
     seen: dict[bytes, int] = {}
     for i, line in enumerate(text.encode().split(b"\n")):
         n = len(line.split())
@@ -78,21 +85,24 @@ def keys_of(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, l
         lines.append(i)
         words.append(n)
         keys.append(xxhash.xxh3_128_digest(b"%d:" % again + digest))
-    for at, key in enumerate(keys):
-        yield at, 1, words[at : at + 1], lines[at : at + 1], key
+        bare.append(xxhash.xxh3_128_digest(b"0:" + digest) if every_copy else keys[-1])
+    for at, (key, other) in enumerate(zip(keys, bare, strict=True)):
+        for k in {key, other}:
+            yield at, 1, words[at : at + 1], lines[at : at + 1], k
     for at, step, length in runs_of(words, min_words):
         part = slice(at, at + step * (length - 1) + 1, step)
-        yield at, step, words[part], lines[part], xxhash.xxh3_128_digest(b"%d:" % step + b"".join(keys[part]))
+        for k in {b"".join(keys[part]), b"".join(bare[part])}:
+            yield at, step, words[part], lines[part], xxhash.xxh3_128_digest(b"%d:" % step + k)
 
 
-def _keys(min_words: int):
+def _keys(min_words: int, every_copy: bool):
     def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks:
             for begin in range(0, block.num_rows, 500):
                 some = block.slice(begin, 500)
                 out: list[list] = [[] for _ in range(7)]
                 for did, tkey, text in zip(*(c.to_pylist() for c in some.columns), strict=True):
-                    for key in keys_of(text or "", min_words):
+                    for key in keys_of(text or "", min_words, every_copy):
                         for col, v in zip(out, (did, tkey, *key), strict=True):
                             col.append(v)
                 ints = pa.list_(pa.int32())
@@ -128,6 +138,11 @@ def align(anchors: list[tuple[int, int, int, int]], min_words: int = MIN_WORDS)
         chain.append(anchors[i])
         i = back[i]
     chain.reverse()
+    return blocks_of(chain, min_words)
+
+
+def blocks_of(chain: list[tuple[int, int, int, int]], min_words: int) -> list[int]:
+    """Lines of the runs of one diagonal with ``min_words`` or more."""
     out: list[int] = []
     run: list[tuple[int, int, int, int]] = []
     for a in [*chain, None]:
@@ -140,7 +155,18 @@ def align(anchors: list[tuple[int, int, int, int]], min_words: int = MIN_WORDS)
     return out
 
 
-def _deletions(min_words: int):
+def left_over(anchors: Iterable[tuple[int, int, int, int]], removed: list[int], min_words: int) -> list[int]:
+    """Lines that further alignments of the anchors outside ``removed`` delete, until no block is left.
+
+    Any block is aligned in the end, so the blocks are read off the diagonals
+    at once, in one sort however many copies there are.
+    """
+    gone = set(removed)
+    left = [a for a in anchors if a[3] not in gone]
+    return blocks_of(sorted(left, key=lambda x: (x[1] - x[0], x[0])), min_words)
+
+
+def _deletions(min_words: int, every_copy: bool):
     """Pair rows sorted by document and owner, to ``(did, tkey, removed)``."""
 
     def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +178,10 @@ def _deletions(min_words: int):
 
         def close_pair() -> None:
             nonlocal anchors
-            removed.extend(align(sorted(anchors, key=lambda x: (x[0], -x[1])), min_words))
+            found = align(sorted(anchors, key=lambda x: (x[0], -x[1])), min_words)
+            removed.extend(found)
+            if every_copy:
+                removed.extend(left_over(anchors, found, min_words))
             anchors = set()
 
         def close_doc() -> None:
@@ -198,10 +227,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", did, F.xxhash64(text).alias("tkey"), text.alias("text"))
 
 
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, every_copy: bool = False) -> DataFrame:
     """``did, tkey, removed array<int>`` of the documents that lose lines."""
     texts = keyed(docs).select("did", "tkey", "text")
-    keys = materialise(texts.mapInArrow(_keys(min_words), KEYS).distinct(), "line-keys")
+    keys = materialise(texts.mapInArrow(_keys(min_words, every_copy), KEYS).distinct(), "line-keys")
     owners = (
         keys.groupBy("h")
         .agg(F.min(F.struct("did", "tkey", "ord")).alias("o"), F.count(F.lit(1)).alias("n"))
@@ -216,7 +245,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return (
         pairs.repartition("did", "tkey")
         .sortWithinPartitions("did", "tkey", "o_did", "o_tkey", "ord")
-        .mapInArrow(_deletions(min_words), "did long, tkey long, removed array<int>")
+        .mapInArrow(_deletions(min_words, every_copy), "did long, tkey long, removed array<int>")
     )
 
 
@@ -244,19 +273,19 @@ def _strip(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, every_copy: bool = False) -> DataFrame:
     """``doc_id, text`` without the deleted lines, ``n_lines`` before, ``removed`` line numbers.
 
     The deletions grow with the corpus, so texts meet them in a merge join at
     every size and not in a broadcast where the corpus happens to be small.
     """
-    gone = materialise(removed_lines(docs, min_words), "removed-lines")
+    gone = materialise(removed_lines(docs, min_words, every_copy), "removed-lines")
     joined = keyed(docs).join(gone.hint("merge"), ["did", "tkey"], "left").select("doc_id", "text", "removed")
     return joined.mapInArrow(_strip, "doc_id long, text string, n_lines int, removed array<int>")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return line_dedup(docs).select(
+    return line_dedup(docs, every_copy=True).select(
         "doc_id",
         "n_lines",
         F.size("removed").alias("n_removed"),

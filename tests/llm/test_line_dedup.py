@@ -80,3 +80,20 @@ def test_gap_between_lines_of_several_owners(spark):
     x, y = "first of two lines here", "second of two lines here"
     got = run(spark, f"{x}\na", f"{y}\nb", f"{x}\nc\n{y}", f"d\n{x}\ne\n{y}")
     assert got[2].removed == [] and got[3].text == "d\ne"
+
+
+def test_query_deletes_every_copy(spark):
+    quoted = "four five six\nelse\none two three\nfour five six\nseven eight nine ten"
+    texts = [
+        "\n".join(PASSAGE),
+        "\n".join(PASSAGE[4:] + PASSAGE[:4]),
+        "\n".join(PASSAGE + ["", "x"] + PASSAGE + PASSAGE),
+        "one two three\nfour five six\nseven eight nine ten",
+        quoted,
+    ]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.removed_lines for r in line_dedup.query(table).collect()}
+    assert got[0] == got[3] == ""
+    assert got[1] == "0,1,2,3,4,5,6,7"
+    assert got[2] == ",".join(str(i) for i in range(26) if i not in (8, 9))
+    assert got[4] == "2,3,4"
