@@ -5,8 +5,11 @@ characters, with letters and digits, that follows a sensitive word closely.
 Its novelty is what it adds to the compressed size when the compressor is
 primed with a dictionary of common identifiers and with the text around it:
 identifiers, words of the text and repeated or regular strings shorten well;
-keys do not. Candidates at ``NOVEL`` bytes a character or more are reported as
-kind ``novel``, unless they touch a pattern's span.
+keys do not. Candidates at ``NOVEL`` bytes a character or more, as a whole or in
+a slice of ``SLICE`` characters with letters and digits, are reported as kind
+``novel``, unless they touch a pattern's span. Slices are short enough for the
+measure not to sink with length: zstandard codes literals by their frequency
+only from 64 bytes on.
 
 Defined results: null and empty texts have no spans; texts are scanned whole,
 whatever their length; repeated rows are scanned alike; an empty table gives an
@@ -29,6 +32,7 @@ KINDS = ("assign", "access", "hex", "novel")
 NOVEL = 0.8
 REACH = 64
 AROUND = 256
+SLICE = 32
 _ASSIGN = re.compile(
     r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
 )
@@ -65,6 +69,17 @@ def novelty(candidate: str, around: str) -> float:
     return (len(packer.compress(candidate.encode())) - len(packer.compress(b""))) / len(candidate)
 
 
+def is_novel(candidate: str, around: str) -> bool:
+    """Whether the string or a slice of it is novel; slices overlap by half and the last ends with the string."""
+    if novelty(candidate, around) >= NOVEL:
+        return True
+    if len(candidate) <= SLICE:
+        return False
+    starts = [*range(0, len(candidate) - SLICE, SLICE // 2), len(candidate) - SLICE]
+    parts = (candidate[a : a + SLICE] for a in starts)
+    return any(_DIGIT.search(x) and _LETTER.search(x) and novelty(x, around) >= NOVEL for x in parts)
+
+
 def patterns(text: str) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` of the fixed patterns."""
     found: list[tuple[str, int, int]] = []
@@ -100,7 +115,7 @@ def novel(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int,
             at += 1
         if any(x < b and a < y for x, y in spans[at : at + len(KINDS)]):
             continue
-        if novelty(m[0], text[max(0, a - AROUND) : a] + text[b : b + AROUND]) >= NOVEL:
+        if is_novel(m[0], text[max(0, a - AROUND) : a] + text[b : b + AROUND]):
             found.append(("novel", a, b))
     return found
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from glyphmill.llm import secrets
@@ -54,3 +55,15 @@ def test_query(docs, rows, none, spark):
         assert r.n_assign + r.n_access + r.n_hex == len(naive(texts[r.doc_id]))
     assert secrets.query(docs).count() == len(rows) and secrets.query(docs).where("spans <> ''").count() == 0
     assert secrets.query(none).count() == 0
+
+
+def test_long_keys_are_novel():
+    rng = random.Random(5)
+    upper = "0123456789ABCDEF"
+    base32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for letters, length in ((upper, 64), (upper, 128), (upper, 1000), (base32, 256), (base62, 1024), (base62, 5000)):
+        for _ in range(20):
+            key = "".join(rng.choices(letters, k=length))
+            assert secrets.scan(f"Authorization: Bearer {key} end") == [("novel", 22, 22 + length)]
+    assert secrets.scan("bearer token " + "xyzxyzxyzxyz1" * 100) == []
