@@ -11,6 +11,10 @@ a slice of ``SLICE`` characters with letters and digits, are reported as kind
 measure not to sink with length: zstandard codes literals by their frequency
 only from 64 bytes on.
 
+A string's other places nearby are left out of the priming text, lest a key
+that stands twice hide itself; so are those of its parts between equals signs.
+Places in a pattern's span stay in: there the key is reported already.
+
 Defined results: null and empty texts have no spans; texts are scanned whole,
 whatever their length; repeated rows are scanned alike; an empty table gives an
 empty result; further columns of the input are ignored. Offsets are code
@@ -21,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,6 +48,7 @@ _SENSITIVE = re.compile(
     r"|authorization|client[_-]?id|signature|session[_-]?id",
     re.I | re.A,
 )
+_PART = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _DIGIT = re.compile("[0-9]")
 _LETTER = re.compile("[A-Za-z]")
@@ -92,6 +97,42 @@ def patterns(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def surroundings(text: str, a: int, b: int, spans: list[tuple[int, int]]) -> str:
+    """``AROUND`` characters on both sides, with the string's and its parts' other places outside ``spans`` blanked.
+
+    ``spans`` are sorted and do not overlap. Only what both sides hold is
+    searched, places that they cut included.
+    """
+    run = text[a:b]
+    parts = {run, *(x for x in _PART.findall(run) if _DIGIT.search(x) and _LETTER.search(x))}
+    sides = []
+    for low, high in ((max(0, a - AROUND), a), (b, min(len(text), b + AROUND))):
+        side = list(text[low:high])
+        for part in parts:
+            begin, end = (max(0, low - len(part) + 1), high) if high == a else (low, high + len(part) - 1)
+            at = text.find(part, begin, end)
+            while at >= 0:
+                near = bisect_right(spans, (at, len(text)))
+                held = (near and spans[near - 1][1] > at) or (near < len(spans) and spans[near][0] < at + len(part))
+                if not held:
+                    cut = slice(max(at, low) - low, min(at + len(part), high) - low)
+                    side[cut] = " " * (cut.stop - cut.start)
+                at = text.find(part, at + 1, end)
+        sides.append("".join(side))
+    return "".join(sides)
+
+
+def disjoint(taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The spans' union."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in taken):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def novel(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Incompressible strings in sensitive context that touch no span of ``taken``.
 
@@ -102,6 +143,7 @@ def novel(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int,
     if not words:
         return []
     spans = sorted((a, b) for _, a, b in taken)
+    united = disjoint(taken)
     found = []
     at = 0
     for m in _RUN.finditer(text):
@@ -115,7 +157,7 @@ def novel(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int,
             at += 1
         if any(x < b and a < y for x, y in spans[at : at + len(KINDS)]):
             continue
-        if is_novel(m[0], text[max(0, a - AROUND) : a] + text[b : b + AROUND]):
+        if is_novel(m[0], surroundings(text, a, b, united)):
             found.append(("novel", a, b))
     return found
 

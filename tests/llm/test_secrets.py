@@ -67,3 +67,15 @@ def test_long_keys_are_novel():
             key = "".join(rng.choices(letters, k=length))
             assert secrets.scan(f"Authorization: Bearer {key} end") == [("novel", 22, 22 + length)]
     assert secrets.scan("bearer token " + "xyzxyzxyzxyz1" * 100) == []
+
+
+def test_keys_that_stand_twice():
+    key = "Zk4TbVr8YcQ2nLmZp9Xw7Gd5HsJ3fUa6"
+    found = secrets.scan(f"client-id {key} and again, the signature {key} too")
+    assert found == [("novel", 10, 42), ("novel", 68, 100)]
+    lines = f"authorization_a={key}\nauthorization_b={key}\n"
+    assert len(secrets.scan(lines)) == 2
+    cut = f"credential {key}" + " word" * 48 + f" credential {key}"
+    assert [a for _, a, _ in secrets.scan(cut)] == [11, len(cut) - 32]
+    assert len(secrets.scan("bearer " + f"{key} " * 5)) >= 2
+    assert secrets.scan(f"bearer {key.lower()[:8]}1" + " getElementByIdapplication1" * 2) == []
