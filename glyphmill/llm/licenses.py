@@ -5,6 +5,12 @@ this module and so of bounded size. Every k-gram of a document is looked up in
 it; hits on neighbouring diagonals of one template form a candidate, which a
 banded alignment of the template's words against the document's decides.
 
+Templates of up to ``SHORT`` words have few such k-grams or one, which an edit
+breaks. Those in ``NAMES`` are looked up by a word that a match must hold, so
+that the index loses no match; their other named phrases must stand in the span
+too, or a notice would match another license's. The other short ones have all
+their grams of ``SHORT_GRAM`` words in the index as well.
+
 Defined results: null and empty texts match nothing; words are runs of ASCII
 letters and digits, in lower case; a template may match several places of a
 text; a document without a match has no row; repeated rows are scanned alike;
@@ -25,6 +31,8 @@ from pyspark.sql import DataFrame
 GRAM = 5
 WINNOW = 4
 COVERAGE = 0.8
+SHORT = 20
+SHORT_GRAM = 3
 _WORD = re.compile(r"[a-z0-9]+")
 
 TEMPLATES: dict[str, str] = {
@@ -79,6 +87,18 @@ TEMPLATES: dict[str, str] = {
     "All-rights-reserved": "Copyright. All rights reserved. No part of this work may be reproduced without permission.",
 }
 
+#: Phrases that a match of a notice holds word by word; the first word of the first is the notice's key.
+NAMES: dict[str, tuple[str, ...]] = {
+    "MIT-notice": ("mit", "released"),
+    "MIT-licensed": ("mit", "licensed"),
+    "Apache-2.0-notice": ("apache", "2 0"),
+    "GPL-3.0-notice": ("gnu general public license", "3"),
+    "BSD-3-Clause-notice": ("bsd 3 clause",),
+    "CC-BY-NC-4.0-notice": ("cc by nc 4 0",),
+    "CC-BY-4.0-notice": ("cc by 4 0",),
+    "CC-BY-SA-4.0-notice": ("cc by sa 4 0",),
+}
+
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower() if text.isascii() else _ascii_lower(text))
@@ -92,13 +112,13 @@ def _ascii_lower(text: str) -> str:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def gram_hashes(ids: np.ndarray) -> np.ndarray:
+def gram_hashes(ids: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """A hash for each k-gram of word numbers."""
-    if len(ids) < GRAM:
+    if len(ids) < gram:
         return np.zeros(0, np.uint64)
-    h = np.zeros(len(ids) - GRAM + 1, np.uint64)
-    for k in range(GRAM):
-        h = (h ^ ids[k : len(ids) - GRAM + 1 + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    h = np.zeros(len(ids) - gram + 1, np.uint64)
+    for k in range(gram):
+        h = (h ^ ids[k : len(ids) - gram + 1 + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return h
 
@@ -119,27 +139,37 @@ class TemplateIndex:
         split = [words_of(t) for t in templates.values()]
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for s in split for w in s}))}
         self.words = [np.asarray([self.vocabulary[w] for w in s]) for s in split]
-        entries = []
-        for t, ids in enumerate(self.words):
+        self.names_held = [[[self.vocabulary[w] for w in p.split()] for p in NAMES.get(n, ())] for n in self.names]
+        self.postings: dict[int, dict[int, list[tuple[int, int]]]] = {1: {}, SHORT_GRAM: {}, GRAM: {}}
+        for t, (ids, held) in enumerate(zip(self.words, self.names_held, strict=True)):
             hashes = gram_hashes(ids)
-            entries += [(int(hashes[p]), t, p) for p in winnowed(hashes)]
-        entries.sort()
-        self.keys = np.asarray(sorted({e[0] for e in entries}), np.uint64)
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        for h, t, p in entries:
-            self.postings.setdefault(h, []).append((t, p))
+            picked = [(GRAM, hashes, p) for p in winnowed(hashes)]
+            if held:
+                singles = gram_hashes(ids, 1)
+                picked += [(1, singles, p) for p in np.flatnonzero(ids == held[0][0]).tolist()]
+            elif len(ids) <= SHORT:
+                hashes = gram_hashes(ids, SHORT_GRAM)
+                picked += [(SHORT_GRAM, hashes, p) for p in range(len(hashes))]
+            for gram, of, p in picked:
+                self.postings[gram].setdefault(int(of[p]), []).append((t, p))
+        self.keys = {g: np.asarray(sorted(p), np.uint64) for g, p in self.postings.items()}
+
+    def holds_names(self, t: int, part: list[int]) -> bool:
+        """Whether the named phrases of a template all stand in a document's words."""
+        return all(any(part[i : i + len(n)] == n for i in range(len(part))) for n in self.names_held[t])
 
     def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """``(template, lowest diagonal, highest diagonal)`` of clustered hits."""
-        hashes = gram_hashes(ids)
-        if not len(hashes):
-            return
-        at = np.searchsorted(self.keys, hashes)
-        at[at == len(self.keys)] = 0
         diagonals: dict[int, set[int]] = {}
-        for pos in np.flatnonzero(self.keys[at] == hashes).tolist():
-            for t, p in self.postings[int(hashes[pos])]:
-                diagonals.setdefault(t, set()).add(pos - p)
+        for gram, keys in self.keys.items():
+            hashes = gram_hashes(ids, gram)
+            if not len(hashes) or not len(keys):
+                continue
+            at = np.searchsorted(keys, hashes)
+            at[at == len(keys)] = 0
+            for pos in np.flatnonzero(keys[at] == hashes).tolist():
+                for t, p in self.postings[gram][int(hashes[pos])]:
+                    diagonals.setdefault(t, set()).add(pos - p)
         for t, found in sorted(diagonals.items()):
             low = high = None
             for d in sorted(found):
@@ -152,7 +182,7 @@ class TemplateIndex:
 
 
 def band_of(length: int) -> int:
-    return 2 + length // 10
+    return max(4, 2 + length // 10)
 
 
 def align(template: np.ndarray, ids: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
@@ -202,7 +232,7 @@ def scan(text: str | None, index: TemplateIndex, coverage: float = COVERAGE) ->
     found: dict[tuple[int, int, int], float] = {}
     for t, low, high in index.candidates(ids):
         hit = align(index.words[t], ids, low, high)
-        if hit and hit[0] >= coverage * len(index.words[t]):
+        if hit and hit[0] >= coverage * len(index.words[t]) and index.holds_names(t, ids[hit[1] : hit[2] + 1].tolist()):
             spans = spans or [m.span() for m in _WORD.finditer(_ascii_lower(text))]
             found[t, spans[hit[1]][0], spans[hit[2]][1]] = hit[0] / len(index.words[t])
     return [(index.names[t], c, a, b) for (t, a, b), c in sorted(found.items())]

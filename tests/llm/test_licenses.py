@@ -47,3 +47,36 @@ def test_query(docs, none, spark):
     table = spark.createDataFrame([(1, None), (2, "Released under the MIT License."), (2, "Released under the MIT License.")], "doc_id long, text string")
     got = licenses.query(table).collect()
     assert [(r.doc_id, r.license, r.start, r.end) for r in got] == [(2, "MIT-notice", 0, 30)] * 2
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Released under the terms of the MIT License.", {"MIT-notice"}),
+        ("Licensed under a CC BY 4.0 license", {"CC-BY-4.0-notice"}),
+        ("Licensed under the Apache Software License, Version 2.0.", {"Apache-2.0-notice"}),
+        ("Licensed under the terms of the BSD 3-Clause License", {"BSD-3-Clause-notice"}),
+        ("Licensed under CC BY-NC 4.0.", {"CC-BY-NC-4.0-notice"}),
+        ("Licensed under the Foo License.", set()),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", set()),
+    ],
+)
+def test_edited_notices(text, names):
+    found = licenses.scan(f"before {text} after", INDEX)
+    assert {x[0] for x in found} == names and all(x[1] == 1.0 for x in found)
+
+
+def test_recall_of_short_templates_without_the_index():
+    rng = np.random.default_rng(4)
+    for t, template in enumerate(INDEX.words):
+        for _ in range(20 if len(template) <= licenses.SHORT else 0):
+            doc = template.tolist()
+            for _ in range(int(rng.integers(0, len(template) // 5 + 1))):
+                doc.pop(int(rng.integers(0, len(doc))))
+            doc.insert(int(rng.integers(0, len(doc))), 0)
+            ids = np.asarray([0] * 6 + doc + [0] * 6)
+            hit = licenses.align(template, ids, 6, 6)
+            if hit[0] < licenses.COVERAGE * len(template) or not INDEX.holds_names(t, ids[hit[1] : hit[2] + 1].tolist()):
+                continue
+            got = [licenses.align(template, ids, a, b) for u, a, b in INDEX.candidates(ids) if u == t]
+            assert hit[0] in [g[0] for g in got if g], (INDEX.names[t], doc)
