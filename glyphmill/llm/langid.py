@@ -115,7 +115,7 @@ class LanguageModel:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, alpha: float = 0.5) -> LanguageModel:
-    """Train on ``text`` and ``lang``; ``doc_id`` only decides which rows are sampled."""
+    """Train on ``text`` and ``lang``; ``doc_id`` only decides which rows are sampled for grams; priors count all."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(counts, key=lambda v: v.encode())
@@ -135,8 +135,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, alpha: float = 0.5) -> Langua
     sums[grams["bucket"].to_numpy(), grams["lang"].to_numpy()] += grams["n"].to_numpy()
     weights = np.zeros((BUCKETS + 1, len(langs)))
     weights[:BUCKETS] = np.log(sums) - np.log(sums.sum(axis=0))
-    drawn_n = np.asarray([min(sample, counts[v]) for v in langs], float)
-    return LanguageModel(langs, weights, np.log(drawn_n / drawn_n.sum()))
+    whole = np.asarray([counts[v] for v in langs], float)
+    return LanguageModel(langs, weights, np.log(whole / whole.sum()))
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -50,3 +50,9 @@ def test_held_out_accuracy(spark):
     table = spark.read.parquet(sf)
     joined = langid.query(table).join(table.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in joined) >= 0.98 * len(joined) > 20
+
+
+def test_prior_counts_all_rows(spark):
+    rows = [(i, "one two", "en") for i in range(90)] + [(i, "eins zwei", "de") for i in range(90, 100)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=10)
+    assert model.langs == ["de", "en"] and abs(np.exp(model.prior) - [0.1, 0.9]).max() < 1e-9
