@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm import exact_dedup, mixing, packing, quality, simhash
-from glyphmill.llm._tables import documents, materialise
+from glyphmill.llm._tables import documents
+from glyphmill.sources.scratch import drop, materialise, scope, scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 MIX = mixing.Mix(share=1.0)
@@ -50,9 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialise(docs, f"pipeline-{name}")
-    return docs
+    """All stages; a stage's scratch tables go when its rows are written, and those when the next stage's are."""
+    docs, before = documents(spark, sf_dir), None
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"pipeline-{name}")
+        with scope(spark):
+            docs = materialise(stage(spark, docs, sf_dir), path=path)
+        if before:
+            drop(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
