@@ -3,6 +3,7 @@
 * ``materialise`` cuts lineage with a Parquet table in the cluster's shared
   checkpoint folder, so a lost executor costs a re-read and not a re-run.
 * ``lookup`` joins rows to a keyed table without sending a hot key to one task.
+* ``boxed`` and ``unboxed`` carry a table's own columns past internal ones, whatever their names.
 * ``running_offsets`` turns bounded per-bucket totals into global offsets.
 """
 
@@ -19,8 +20,37 @@ HOT_SHARE = 1024
 SALTS = 4096
 
 
+def boxed(docs: DataFrame, *needed: str) -> DataFrame:
+    """``own``, a struct of all columns of ``docs`` by place, beside the ``needed`` ones.
+
+    Names are met exactly, then in any case, so that dots, internal names and
+    twins that differ in case do no harm.
+    """
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+    def place(name: str) -> Column:
+        same = [i for i, c in enumerate(docs.columns) if c == name]
+        alike = [i for i, c in enumerate(docs.columns) if c.lower() == name.lower()]
+        if not alike:
+            raise ValueError(f"the table has no column {name!r}")
+        return F.col(f"c{(same or alike)[0]}").alias(name)
+
+    return plain.select(F.struct(*plain.columns).alias("own"), *[place(n) for n in needed])
+
+
+def unboxed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from ``own``."""
+    return rows.select(*[F.col("own")[f"c{i}"].alias(name) for i, name in enumerate(docs.columns)])
+
+
 def lookup(
-    rows: DataFrame, table: DataFrame, key: str, values: list[str], count: str, total: int
+    rows: DataFrame,
+    table: DataFrame,
+    key: str,
+    values: list[str],
+    count: str,
+    total: int,
+    salted_by: list[str] | None = None,
 ) -> DataFrame:
     """Left-join ``values`` of ``table`` (one row per ``key``) to ``rows``.
 
@@ -29,7 +59,8 @@ def lookup(
     are at most ``HOT_SHARE`` by counting, are broadcast; their rows, and rows
     with a null key, get a salt, so that the shuffled join stays even. The salt
     is hashed with the key: a constant on one side would be folded away and the
-    join dealt out by the key alone.
+    join dealt out by the key alone. ``salted_by`` names the columns that the salt
+    hashes: those that tell a key's rows apart, all by default.
     """
     packed = F.struct(*[F.col(v) for v in values])
     hot = F.broadcast(
@@ -40,7 +71,7 @@ def lookup(
     cold = table.where(F.col(count) * HOT_SHARE <= F.lit(total)).select(
         F.col(key).alias("_cold_key"), F.xxhash64(key, F.lit(0)).alias("_cold_salt"), packed.alias("_cold")
     )
-    salt = F.lit(1) + F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALTS)).cast("int")
+    salt = F.lit(1) + F.pmod(F.xxhash64(*[F.col(c) for c in salted_by or rows.columns]), F.lit(SALTS)).cast("int")
     spread = F.col("_hot").isNotNull() | F.col(key).isNull()
     joined = (
         rows.join(hot, F.col(key) == F.col("_hot_key"), "left")
