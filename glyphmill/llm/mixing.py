@@ -14,7 +14,8 @@ Defined results: null labels form the label ``(none)``; null and empty texts
 have no tokens and come along where the prefix reaches them; rows that share
 ``doc_id`` and leaf are drawn together; shares are rounded down; a leaf without
 tokens has no budget, and its documents are not drawn; an empty table gives an
-empty result; further columns of the input are ignored.
+empty result; further columns of the input, whatever their names, are ignored
+by the draw and kept by ``mixed``.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm._tables import lookup, materialise
+from glyphmill.llm._tables import boxed, lookup, materialise, unboxed
 
 NONE = "(none)"
 SLICES_BITS = 10
@@ -154,14 +155,14 @@ def draw(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The drawn rows of ``docs``, once per epoch, with their columns."""
-    columns = docs.columns
     drawn = draw(docs, mix).select(
-        F.col("doc_id").alias("_drawn_doc"), *[F.col(c).alias(f"_drawn_{c}") for c in LEVELS]
+        F.col("doc_id").alias("drawn_doc"), *[F.col(c).alias(f"drawn_{c}") for c in LEVELS]
     )
-    on = F.col("doc_id").eqNullSafe(F.col("_drawn_doc"))
+    held = boxed(docs, "doc_id", "lang", "source")
+    on = F.col("doc_id").eqNullSafe(F.col("drawn_doc"))
     for name, label in _labels().items():
-        on &= label == F.col(f"_drawn_{name}")
-    return docs.join(drawn, on).select(*columns)
+        on &= label == F.col(f"drawn_{name}")
+    return unboxed(held.join(drawn, on), docs)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ counts and narrow rows are shuffled.
 Defined results: null and empty texts have no words and fail; a null host has
 no verdict, so that its documents stand by their own rules; repeated rows are
 judged alike; an empty table gives an empty result; further columns of the
-input are ignored.
+input, whatever their names, are ignored by verdicts and kept by ``passing``.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm._tables import lookup, materialise
+from glyphmill.llm._tables import boxed, lookup, materialise, unboxed
 
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -30,6 +30,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 MAX_HOST_RATE = 0.6
+HOSTS = 100_000
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -135,24 +136,30 @@ def quality_rules(docs: DataFrame, host: str = "source", max_rate: float = MAX_H
     return out.select("doc_id", *MEASURES, "base_failed", F.col("rate").alias("host_rate"), kept.alias("kept"))
 
 
-def passing(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def passing(
+    docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE, hosts: int = HOSTS
+) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns.
 
     Rows are written once with their verdict, as the hosts' rates are needed
-    before any row can pass and the measures cost more than the copy.
+    before any row can pass and the measures cost more than the copy. Rejected
+    hosts meet them in a broadcast while there are at most ``HOSTS`` of them,
+    else hot hosts are broadcast and the rest joined by host.
     """
-    columns = docs.columns
-    clash = {c: f"_own_{c}" for c in columns if c in (*MEASURES, "base_failed")}
-    own = [clash.get(c, c) for c in columns]
-    rows = measured(docs.withColumnsRenamed(clash), own).select(*own, "base_failed")
-    rows = materialise(rows, "quality-docs")
-    verdicts = materialise(host_verdicts(rows, host, max_rate), "quality-hosts")
-    rejected = verdicts.where(~F.col("host_ok")).select(F.col(host).alias("_bad_host"))
-    return (
-        rows.where(~F.col("base_failed"))
-        .join(rejected, F.col(host) == F.col("_bad_host"), "left_anti")
-        .select(*[F.col(o).alias(c) for o, c in zip(own, columns, strict=True)])
+    held = boxed(docs, "doc_id", "text", host).withColumnRenamed(host, "host")
+    rows = materialise(
+        measured(held, ["own", "doc_id", "host"]).select("own", "doc_id", "host", "n_words", "base_failed"),
+        "quality-docs",
     )
+    verdicts = materialise(host_verdicts(rows, "host", max_rate), "quality-hosts")
+    rejected = verdicts.where(~F.col("host_ok"))
+    left = rows.where(~F.col("base_failed"))
+    if rejected.count() <= hosts:
+        names = F.broadcast(rejected.select("host"))  # at most ``hosts`` rows
+        return unboxed(left.join(names, "host", "left_anti"), docs)
+    total = verdicts.agg(F.sum("n")).first()[0]
+    judged = lookup(left, verdicts, "host", ["host_ok"], "n", total, salted_by=["doc_id", "n_words"])
+    return unboxed(judged.where(F.coalesce(F.col("host_ok"), F.lit(True))), docs)
 
 
 ORACLE_SQL = r"""

@@ -18,7 +18,8 @@ any other; fewer words than a shingle give one shingle of them all; words may
 be of any length and texts are read in blocks; repeated rows share a component;
 a null ``doc_id`` is kept and never names a component unless alone; of each
 component exactly one row survives, repeated rows and repeated ids included; an
-empty table gives an empty result; further columns of the input are ignored.
+empty table gives an empty result; further columns of the input, whatever their
+names, are ignored by decisions and kept by ``surviving``.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm._tables import lookup, materialise
+from glyphmill.llm._tables import boxed, lookup, materialise, unboxed
 
 SHINGLE = 3
 SEED = 42
@@ -314,12 +315,11 @@ def surviving(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     pass over repeated rows; so texts are shuffled once.
     """
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    keep = _grouped(docs, heavy)[2].select("first.*")
-    keep = keep.select(name.alias("_row_name"), F.col("tkey").alias("_row_text"))
-    tagged = docs.withColumns({"_row_name": name, "_row_text": text_key(F.col("text"))})
-    first = Window.partitionBy("_row_name", "_row_text").orderBy(F.lit(0))
-    hit = tagged.join(keep, ["_row_name", "_row_text"], "left_semi").withColumn("_copy", F.row_number().over(first))
-    return hit.where("_copy = 1").select(*docs.columns)
+    keep = _grouped(docs, heavy)[2].select("first.*").select(name.alias("name"), F.col("tkey").alias("tkey"))
+    tagged = boxed(docs, "doc_id", "text").select("own", name.alias("name"), text_key(F.col("text")).alias("tkey"))
+    first = Window.partitionBy("name", "tkey").orderBy(F.lit(0))
+    hit = tagged.join(keep, ["name", "tkey"], "left_semi").withColumn("copy", F.row_number().over(first))
+    return unboxed(hit.where("copy = 1"), docs)
 
 
 def query(docs: DataFrame) -> DataFrame:
