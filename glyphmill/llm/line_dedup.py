@@ -1,37 +1,38 @@
 """Line dedup across documents by pairwise patience alignment.
 
-A line's key hashes the line and which occurrence it is in its document, so
-that keys are unique in a document, as patience alignment wants its anchors.
-Runs of lines have keys as well: from each line of under ``min_words`` words on
-and up to it, the shortest run of consecutive lines that has as many words, and
-any two lines up to ``MAX_GAP`` apart that have as many. A key's owner is the
-earliest document that holds it. Each document is paired with the owners of its
-keys and with nobody else: that is one pair entry per shared key, however often
-it occurs in the corpus, so that common lines need no cap. A block of short
-lines that two later documents share has one owner by its runs, even if its
-lines have several. A pair's anchors, the lines of its keys, are put in
-document order, the longest run that increases on the owner's side is the
-alignment, and its common blocks, runs on one diagonal of ``min_words`` words or
-more, are deleted from the later document. Owners keep their lines.
-
-With ``every_copy``, as in the query, there are keys of content alone as well,
-and a pair is aligned again without its deleted lines until no block is left, so that second
-and crossed copies go as well.
-
-Not found: a block of three or more lines, with gaps, whose runs and pairs of
-lines each have under ``min_words`` words, when its lines have several owners.
+Postings of line hashes name the documents that overlap. A key is the hash of a
+line, or of a run of lines with ``min_words`` words, so that blocks of common
+short lines have rare keys too: from each line of under ``min_words`` words on
+and up to it the shortest run of consecutive lines, and any two lines less than
+``MAX_GAP`` + 1 apart that have as many. A key in at most ``rare`` documents
+pairs each of them with every earlier one; a commoner key pairs them with its
+earliest document alone, so that pairs grow with the corpus and not with the
+square of a group.
+
+Each pair is aligned on all lines that both documents hold, common or not: lines
+that are unique on both sides are put in order by patience sorting, the parts
+between them are stripped of equal ends and aligned again, lines that are unique
+nowhere go by their occurrence. Blocks are runs on one diagonal with gaps below
+``MAX_GAP`` lines; those of ``min_words`` words or more are deleted from the
+later document. With ``every_copy``, as in the query, lines that are left over
+seed further blocks where they stand in the earlier document, until none is
+left, so that second and crossed copies go as well.
+
+Not found: a block with gaps of which no line, run or pair of lines is in
+``rare`` documents or fewer or has its earliest document with the whole block.
 
 Defined results: null text is empty; lines without a word are neither matched
 nor deleted; lines are compared without the blanks around them; later means a
-larger ``doc_id``, with a null id first and then the text's hash; wholly repeated rows are one
-document and fare alike; an empty table gives an empty result; further columns
-of the input are ignored.
+larger ``doc_id``, with a null id first and then the text's hash; wholly
+repeated rows are one document and fare alike; an empty table gives an empty
+result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -42,8 +43,13 @@ from glyphmill.llm._tables import lookup, materialise
 
 MIN_WORDS = 10
 MAX_GAP = 3
+RARE = 32
+DEPTH = 8
+SEEDS = 8
+SPREAD = 64
 _FIRST = -(1 << 63)
-KEYS = "did long, tkey long, ord int, step int, words array<int>, lines array<int>, h binary"
+_WIDTH = 16
+LISTS = "did long, tkey long, hashes binary, words array<int>, lines array<int>"
 
 
 def runs_of(words: list[int], min_words: int) -> Iterator[tuple[int, int, int]]:
@@ -66,156 +72,245 @@ def runs_of(words: list[int], min_words: int) -> Iterator[tuple[int, int, int]]:
     yield from sorted(found)
 
 
-def keys_of(
-    text: str, min_words: int = MIN_WORDS, every_copy: bool = False
-) -> Iterator[tuple[int, int, list[int], list[int], bytes]]:
-    """``(ord, step, words, lines, key)`` of the lines with a word and of their runs."""
-    lines: list[int] = []
-    words: list[int] = []
-    keys: list[bytes] = []
-    bare: list[bytes] = []
-    seen: dict[bytes, int] = {}
+def lines_of(text: str) -> tuple[bytes, list[int], list[int]]:
+    """Hashes, word counts and numbers of a text's lines with a word."""
+    hashes, words, lines = [], [], []
     for i, line in enumerate(text.encode().split(b"\n")):
         n = len(line.split())
-        if not n:
-            continue
-        digest = xxhash.xxh3_128_digest(line.strip())
-        again = seen.get(digest, 0)
-        seen[digest] = again + 1
-        lines.append(i)
-        words.append(n)
-        keys.append(xxhash.xxh3_128_digest(b"%d:" % again + digest))
-        bare.append(xxhash.xxh3_128_digest(b"0:" + digest) if every_copy else keys[-1])
-    for at, (key, other) in enumerate(zip(keys, bare, strict=True)):
-        for k in {key, other}:
-            yield at, 1, words[at : at + 1], lines[at : at + 1], k
-    for at, step, length in runs_of(words, min_words):
-        part = slice(at, at + step * (length - 1) + 1, step)
-        for k in {b"".join(keys[part]), b"".join(bare[part])}:
-            yield at, step, words[part], lines[part], xxhash.xxh3_128_digest(b"%d:" % step + k)
+        if n:
+            hashes.append(xxhash.xxh3_128_digest(line.strip()))
+            words.append(n)
+            lines.append(i)
+    return b"".join(hashes), words, lines
 
 
-def _keys(min_words: int, every_copy: bool):
-    def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks:
-            for begin in range(0, block.num_rows, 500):
-                some = block.slice(begin, 500)
-                out: list[list] = [[] for _ in range(7)]
-                for did, tkey, text in zip(*(c.to_pylist() for c in some.columns), strict=True):
-                    for key in keys_of(text or "", min_words, every_copy):
-                        for col, v in zip(out, (did, tkey, *key), strict=True):
-                            col.append(v)
-                ints = pa.list_(pa.int32())
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), ints, ints, pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
-                    names=["did", "tkey", "ord", "step", "words", "lines", "h"],
-                )
+def cut(hashes: bytes) -> list[bytes]:
+    return [hashes[i : i + _WIDTH] for i in range(0, len(hashes), _WIDTH)]
 
-    return run
 
+def keys_of(hashes: list[bytes], words: list[int], min_words: int = MIN_WORDS) -> set[bytes]:
+    """The keys of a document: its lines' and its runs'."""
+    out = set(hashes)
+    for at, step, length in runs_of(words, min_words):
+        part = b"".join(hashes[at : at + step * (length - 1) + 1 : step])
+        out.add(xxhash.xxh3_128_digest(b"%d:" % step + part))
+    return out
 
-def align(anchors: list[tuple[int, int, int, int]], min_words: int = MIN_WORDS) -> list[int]:
-    """Lines to delete, from ``(ord, owner's ord, words, line)`` sorted by ``ord``, the last owner's ord first.
 
-    The longest increasing subsequence of the owner's side is found by patience
-    sorting; blocks are its runs of one diagonal with gaps below ``MAX_GAP``.
-    """
+def increasing(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of ``points``, sorted by their first, whose second increases: patience sorting."""
     tops: list[int] = []
     piles: list[int] = []
-    back = [-1] * len(anchors)
-    for i, a in enumerate(anchors):
-        pile = bisect_left(tops, a[1])
+    back = [-1] * len(points)
+    for i, (_, y) in enumerate(points):
+        pile = bisect_left(tops, y)
         if pile == len(tops):
-            tops.append(a[1])
+            tops.append(y)
             piles.append(i)
         else:
-            tops[pile], piles[pile] = a[1], i
+            tops[pile], piles[pile] = y, i
         back[i] = piles[pile - 1] if pile else -1
-    chain: list[tuple[int, int, int, int]] = []
+    chain = []
     i = piles[-1] if piles else -1
     while i >= 0:
-        chain.append(anchors[i])
+        chain.append(points[i])
         i = back[i]
     chain.reverse()
-    return blocks_of(chain, min_words)
+    return chain
+
+
+def anchors(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
+    """Places of the lines that are unique in both; if there are none, of the k-th occurrences of each."""
+    of_a, of_b = Counter(a), Counter(b)
+    at = {x: j for j, x in enumerate(b)}
+    unique = [(i, at[x]) for i, x in enumerate(a) if of_a[x] == 1 == of_b[x]]
+    if unique:
+        return unique
+    places: dict[bytes, list[int]] = {}
+    for j, x in enumerate(b):
+        if x in of_a:
+            places.setdefault(x, []).append(j)
+    turn = {x: iter(p) for x, p in places.items()}
+    out = []
+    for i, x in enumerate(a):
+        j = next(turn[x], None) if x in turn else None
+        if j is not None:
+            out.append((i, j))
+    return out
 
 
-def blocks_of(chain: list[tuple[int, int, int, int]], min_words: int) -> list[int]:
-    """Lines of the runs of one diagonal with ``min_words`` or more."""
-    out: list[int] = []
-    run: list[tuple[int, int, int, int]] = []
-    for a in [*chain, None]:
-        if run and (a is None or a[0] - run[-1][0] > MAX_GAP or a[0] - run[-1][0] != a[1] - run[-1][1]):
-            if sum(x[2] for x in run) >= min_words:
-                out += [x[3] for x in run]
+def patience(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
+    """Matched places of two documents' lines, increasing on both sides."""
+    common = set(a) & set(b)
+    i_of = [i for i, x in enumerate(a) if x in common]
+    j_of = [j for j, x in enumerate(b) if x in common]
+    a, b = [a[i] for i in i_of], [b[j] for j in j_of]
+    found = []
+    parts = [(0, len(a), 0, len(b), 0)]
+    while parts:
+        low_a, high_a, low_b, high_b, depth = parts.pop()
+        while low_a < high_a and low_b < high_b and a[low_a] == b[low_b]:
+            found.append((low_a, low_b))
+            low_a, low_b = low_a + 1, low_b + 1
+        while low_a < high_a and low_b < high_b and a[high_a - 1] == b[high_b - 1]:
+            high_a, high_b = high_a - 1, high_b - 1
+            found.append((high_a, high_b))
+        if low_a == high_a or low_b == high_b or depth == DEPTH:
+            continue
+        chain = increasing(anchors(a[low_a:high_a], b[low_b:high_b]))
+        last_a, last_b = low_a, low_b
+        for i, j in chain:
+            i, j = low_a + i, low_b + j
+            found.append((i, j))
+            parts.append((last_a, i, last_b, j, depth + 1))
+            last_a, last_b = i + 1, j + 1
+        if chain:
+            parts.append((last_a, high_a, last_b, high_b, depth + 1))
+    return sorted((i_of[i], j_of[j]) for i, j in found)
+
+
+def blocks_of(chain: list[tuple[int, int]], words: list[int], min_words: int = MIN_WORDS) -> set[int]:
+    """Places, on the later side, of the runs of one diagonal with ``min_words`` words or more."""
+    out: set[int] = set()
+    run: list[tuple[int, int]] = []
+    for point in [*chain, None]:
+        if run and (
+            point is None or point[0] - run[-1][0] > MAX_GAP or point[0] - run[-1][0] != point[1] - run[-1][1]
+        ):
+            if sum(words[i] for i, _ in run) >= min_words:
+                out.update(i for i, _ in run)
             run = []
-        if a is not None:
-            run.append(a)
+        if point is not None:
+            run.append(point)
     return out
 
 
-def left_over(anchors: Iterable[tuple[int, int, int, int]], removed: list[int], min_words: int) -> list[int]:
-    """Lines that further alignments of the anchors outside ``removed`` delete, until no block is left.
+def grown(a: list[bytes], b: list[bytes], words: list[int], min_words: int, gone: set[int]) -> set[int]:
+    """Places in further blocks than those of ``gone``.
 
-    Any block is aligned in the end, so the blocks are read off the diagonals
-    at once, in one sort however many copies there are.
+    A line outside ``gone`` is looked for at each of its places in ``b``, or at
+    the first one if there are more than ``SEEDS``, and its diagonal is followed
+    both ways while gaps stay below ``MAX_GAP``, into taken lines only until the
+    block is long enough. A block that is takes its lines; one that is not is
+    short. So the work is linear.
     """
-    gone = set(removed)
-    left = [a for a in anchors if a[3] not in gone]
-    return blocks_of(sorted(left, key=lambda x: (x[1] - x[0], x[0])), min_words)
+    places: dict[bytes, list[int]] = {}
+    for j, x in enumerate(b):
+        held = places.setdefault(x, [])
+        if len(held) <= SEEDS:
+            held.append(j)
+    taken = set(gone)
+    for i, x in enumerate(a):
+        held = places.get(x, ())
+        for j in held if len(held) <= SEEDS else held[:1]:
+            if i in taken:
+                break
+            block, total = [i], words[i]
+            for way in (1, -1):
+                at, gap = i, 0
+                while gap < MAX_GAP:
+                    at += way
+                    if not (0 <= at < len(a) and 0 <= at + j - i < len(b)):
+                        break
+                    gap += 1
+                    if a[at] == b[at + j - i]:
+                        if total >= min_words and at in taken:
+                            break
+                        block.append(at)
+                        total += words[at]
+                        gap = 0
+            if total >= min_words:
+                taken.update(block)
+    return taken
+
+
+def overlap(
+    a: list[bytes], b: list[bytes], words: list[int], min_words: int = MIN_WORDS, every_copy: bool = False
+) -> set[int]:
+    """Places of ``a`` that go, given the earlier document's lines ``b``."""
+    if a == b:
+        return set(range(len(a))) if sum(words) >= min_words else set()
+    gone = blocks_of(patience(a, b), words, min_words)
+    return grown(a, b, words, min_words, gone) if every_copy else gone
+
+
+def _lists(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ints = pa.list_(pa.int32())
+    for block in blocks:
+        for begin in range(0, block.num_rows, 500):
+            some = block.slice(begin, 500)
+            found = [lines_of(t or "") for t in some.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    some.column(0),
+                    some.column(1),
+                    pa.array([h for h, _, _ in found], pa.binary()),
+                    pa.array([w for _, w, _ in found], ints),
+                    pa.array([n for _, _, n in found], ints),
+                ],
+                names=["did", "tkey", "hashes", "words", "lines"],
+            )
+
+
+def _keys(min_words: int):
+    def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks:
+            for begin in range(0, block.num_rows, 500):
+                out: list[list] = [[], [], []]
+                columns = (c.to_pylist() for c in block.slice(begin, 500).columns)
+                for did, tkey, hashes, words in zip(*columns, strict=True):
+                    own = keys_of(cut(hashes), words, min_words)
+                    out[0] += [did] * len(own)
+                    out[1] += [tkey] * len(own)
+                    out[2] += own
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.binary()), strict=True)],
+                    names=["did", "tkey", "h"],
+                )
+
+    return run
 
 
 def _deletions(min_words: int, every_copy: bool):
-    """Pair rows sorted by document and owner, to ``(did, tkey, removed)``."""
+    """Rows sorted by document, its own lines (``own``) before those of its partners, to ``(did, tkey, removed)``."""
 
     def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc: tuple | None = None
-        pair: tuple | None = None
-        anchors: set[tuple[int, int, int, int]] = set()
-        removed: list[int] = []
+        hashes: list[bytes] = []
+        words: list[int] = []
+        lines: list[int] = []
+        gone: set[int] = set()
         out: list[list] = [[], [], []]
 
-        def close_pair() -> None:
-            nonlocal anchors
-            found = align(sorted(anchors, key=lambda x: (x[0], -x[1])), min_words)
-            removed.extend(found)
-            if every_copy:
-                removed.extend(left_over(anchors, found, min_words))
-            anchors = set()
-
-        def close_doc() -> None:
-            nonlocal removed
-            if removed:
-                for col, v in zip(out, (*doc, sorted(set(removed))), strict=True):
+        def close() -> None:
+            if gone:
+                for col, v in zip(out, (*doc, sorted(lines[i] for i in gone)), strict=True):
                     col.append(v)
-            removed = []
 
         def batch() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()))
             made = pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32()))],
-                names=["did", "tkey", "removed"],
+                [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["did", "tkey", "removed"]
             )
             for col in out:
                 col.clear()
             return made
 
         for block in blocks:
-            for did, tkey, o_did, o_tkey, at, o_at, step, words, lines in zip(
-                *(c.to_pylist() for c in block.columns), strict=True
-            ):
-                if (did, tkey, o_did, o_tkey) != pair:
-                    close_pair()
-                    if (did, tkey) != doc:
-                        close_doc()
-                        doc = (did, tkey)
-                    pair = (did, tkey, o_did, o_tkey)
-                for k, (n, line) in enumerate(zip(words, lines, strict=True)):
-                    anchors.add((at + k * step, o_at + k * step, n, line))
-            if len(out[0]) > 5000:
-                yield batch()
-        close_pair()
-        close_doc()
+            for begin in range(0, block.num_rows, 500):
+                columns = (c.to_pylist() for c in block.slice(begin, 500).columns)
+                for did, tkey, own, raw, w, n in zip(*columns, strict=True):
+                    if own:
+                        close()
+                        doc, hashes, words, lines, gone = (did, tkey), cut(raw), w, n, set()
+                        continue
+                    other = cut(raw)
+                    shared = set(other)
+                    if any(x in shared and i not in gone for i, x in enumerate(hashes)):
+                        gone |= overlap(hashes, other, words, min_words, every_copy)
+                if len(out[0]) > 5000:
+                    yield batch()
+        close()
         yield batch()
 
     return run
@@ -227,24 +322,71 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", did, F.xxhash64(text).alias("tkey"), text.alias("text"))
 
 
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, every_copy: bool = False) -> DataFrame:
-    """``did, tkey, removed array<int>`` of the documents that lose lines."""
-    texts = keyed(docs).select("did", "tkey", "text")
-    keys = materialise(texts.mapInArrow(_keys(min_words, every_copy), KEYS).distinct(), "line-keys")
+def line_lists(docs: DataFrame) -> DataFrame:
+    """``did, tkey, hashes, words, lines``: one row for each distinct document."""
+    every = keyed(docs).select("did", "tkey", "text").mapInArrow(_lists, LISTS)
+    same = [F.first(c).alias(c) for c in ("hashes", "words", "lines")]
+    return every.groupBy("did", "tkey").agg(*same)
+
+
+def document_pairs(lists: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
+    """``did, tkey, o_did, o_tkey``: each document beside the earlier ones to align it with."""
+    held = lists.select("did", "tkey", "hashes", "words")
+    keys = materialise(held.mapInArrow(_keys(min_words), "did long, tkey long, h binary"), "line-keys")
     owners = (
         keys.groupBy("h")
-        .agg(F.min(F.struct("did", "tkey", "ord")).alias("o"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.struct("did", "tkey")).alias("o"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("h", "n", F.col("o.did").alias("o_did"), F.col("o.tkey").alias("o_tkey"), F.col("o.ord").alias("o_ord"))
+        .select("h", "n", F.col("o.did").alias("o_did"), F.col("o.tkey").alias("o_tkey"))
     )
     owners = materialise(owners, "line-owners")
-    shared = lookup(keys, owners, "h", ["o_did", "o_tkey", "o_ord"], "n", keys.count())
-    pairs = shared.where("o_did IS NOT NULL AND NOT (o_did = did AND o_tkey = tkey)").select(
-        "did", "tkey", "o_did", "o_tkey", "ord", "o_ord", "step", "words", "lines"
+    shared = lookup(keys, owners, "h", ["n", "o_did", "o_tkey"], "n", keys.count()).where("n IS NOT NULL")
+    shared = materialise(shared, "line-shared")
+    common = shared.where((F.col("n") > rare) & ~((F.col("o_did") == F.col("did")) & (F.col("o_tkey") == F.col("tkey"))))
+    # at most ``rare`` members a key
+    members = shared.where(F.col("n") <= rare).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("did", "tkey"))).alias("m"))
+    earlier = F.transform(
+        "m",
+        lambda x, i: F.transform(
+            F.slice("m", F.lit(1), i),
+            lambda y: F.struct(x["did"].alias("did"), x["tkey"].alias("tkey"), y["did"].alias("o_did"), y["tkey"].alias("o_tkey")),
+        ),
+    )
+    pairs = members.select(F.inline(F.flatten(earlier)))
+    return pairs.unionByName(common.select("did", "tkey", "o_did", "o_tkey")).distinct()
+
+
+def removed_lines(
+    docs: DataFrame, min_words: int = MIN_WORDS, every_copy: bool = False, rare: int = RARE
+) -> DataFrame:
+    """``did, tkey, removed array<int>`` of the documents that lose lines.
+
+    Earlier documents that are in over 1/1024 of the pairs, at most 1024 by
+    counting, are laid out ``SPREAD`` times and their pairs dealt among the copies.
+    """
+    lists = materialise(line_lists(docs), "line-lists")
+    pairs = materialise(document_pairs(lists, min_words, rare), "line-pairs")
+    other = [F.col("did").alias("o_did"), F.col("tkey").alias("o_tkey")]
+    hot = pairs.groupBy("o_did", "o_tkey").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 1024 > pairs.count())
+    hot = F.broadcast(materialise(hot.select("o_did", "o_tkey", F.lit(True).alias("hot")), "line-hot"))
+    on = ["o_did", "o_tkey"]
+    dealt = F.when(F.col("hot"), 1 + F.pmod(F.xxhash64("did", "tkey"), F.lit(SPREAD))).otherwise(F.lit(0)).cast("int")
+    copies = F.when(F.col("hot"), F.sequence(F.lit(1), F.lit(SPREAD))).otherwise(F.array(F.lit(0)))
+    left = pairs.join(hot, on, "left").withColumn("copy", dealt)
+    right = lists.select(*other, "hashes").join(hot, on, "left").select(*on, "hashes", F.explode(copies).alias("copy"))
+    nothing = F.lit(None).cast("array<int>")
+    partners = left.join(right, [*on, "copy"]).select(
+        "did", "tkey", *on, F.lit(False).alias("own"), "hashes", nothing.alias("words"), nothing.alias("lines")
+    )
+    none = F.lit(None).cast("long")
+    own = lists.select(
+        "did", "tkey", none.alias("o_did"), none.alias("o_tkey"), F.lit(True).alias("own"), "hashes", "words", "lines"
     )
     return (
-        pairs.repartition("did", "tkey")
-        .sortWithinPartitions("did", "tkey", "o_did", "o_tkey", "ord")
+        own.unionByName(partners)
+        .repartition("did", "tkey")
+        .sortWithinPartitions("did", "tkey", F.desc("own"), *on)
+        .select("did", "tkey", "own", "hashes", "words", "lines")
         .mapInArrow(_deletions(min_words, every_copy), "did long, tkey long, removed array<int>")
     )
 
@@ -273,13 +415,15 @@ def _strip(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, every_copy: bool = False) -> DataFrame:
+def line_dedup(
+    docs: DataFrame, min_words: int = MIN_WORDS, every_copy: bool = False, rare: int = RARE
+) -> DataFrame:
     """``doc_id, text`` without the deleted lines, ``n_lines`` before, ``removed`` line numbers.
 
     The deletions grow with the corpus, so texts meet them in a merge join at
     every size and not in a broadcast where the corpus happens to be small.
     """
-    gone = materialise(removed_lines(docs, min_words, every_copy), "removed-lines")
+    gone = materialise(removed_lines(docs, min_words, every_copy, rare), "removed-lines")
     joined = keyed(docs).join(gone.hint("merge"), ["did", "tkey"], "left").select("doc_id", "text", "removed")
     return joined.mapInArrow(_strip, "doc_id long, text string, n_lines int, removed array<int>")
 

@@ -1,4 +1,6 @@
+import random
 import zlib
+from collections import defaultdict
 
 from glyphmill.llm import line_dedup
 
@@ -32,16 +34,22 @@ def test_short_matches_stay(spark):
 def test_moved_blocks_and_repeats(spark):
     swapped = "\n".join(PASSAGE[4:] + PASSAGE[:4])
     repeated = "\n".join(PASSAGE + ["", "  "] + PASSAGE)
-    got = run(spark, "\n".join(PASSAGE), swapped, repeated, None, "")
+    got = run(spark, "\n".join(PASSAGE), swapped, None, "")
     assert len(got[1].removed) == 4  # the alignment keeps one of two blocks that cross
-    assert got[2].removed == list(range(8))  # the second occurrence is another key
-    assert got[3].text == "" and got[4].removed == []
+    assert got[2].text == "" and got[3].removed == []
+    got = run(spark, "\n".join(PASSAGE), repeated)
+    assert got[1].removed == list(range(8))  # one copy is aligned with one copy
+    # the swapped document aligns with the end of the first copy and the start of the second
+    got = run(spark, "\n".join(PASSAGE), swapped, repeated)
+    assert got[2].removed == [*range(8), *range(10, 14)]
 
 
 def test_longest_alignment():
-    anchors = [(0, 5, 9, 0), (1, 0, 9, 1), (2, 1, 9, 2), (3, 2, 9, 3), (4, 9, 3, 4)]
-    assert line_dedup.align(anchors) == [1, 2, 3]
-    assert line_dedup.align([]) == []
+    points = [(0, 5), (1, 0), (2, 1), (3, 2), (4, 9)]
+    assert line_dedup.increasing(points) == [(1, 0), (2, 1), (3, 2), (4, 9)]
+    assert line_dedup.increasing([]) == []
+    assert line_dedup.blocks_of([(1, 0), (2, 1), (3, 2), (4, 9)], [0, 9, 9, 9, 3]) == {1, 2, 3}
+    assert line_dedup.patience(list("xabcy"), list("abzc")) == [(1, 0), (2, 1), (3, 3)]
 
 
 def test_query(docs, rows, none):
@@ -97,3 +105,72 @@ def test_query_deletes_every_copy(spark):
     assert got[1] == "0,1,2,3,4,5,6,7"
     assert got[2] == ",".join(str(i) for i in range(26) if i not in (8, 9))
     assert got[4] == "2,3,4"
+
+
+def all_pairs(rows, min_words=line_dedup.MIN_WORDS):
+    """Removed line numbers by document: every diagonal block of every pair of documents."""
+    docs = sorted({(-(1 << 63) if i is None else i, t or "") for i, t in rows})
+    held = [(i, line_dedup.lines_of(t)) for i, t in docs]
+    held = [(i, line_dedup.cut(h), w, n) for i, (h, w, n) in held]
+    out = defaultdict(set)
+    for k, (did, a, words, lines) in enumerate(held):
+        for _, b, _, _ in held[:k]:
+            places = defaultdict(list)
+            for j, x in enumerate(b):
+                places[x].append(j)
+            found = sorted((j - i, i, j) for i, x in enumerate(a) for j in places.get(x, ()))
+            by_diagonal = defaultdict(list)
+            for d, i, j in found:
+                by_diagonal[d].append((i, j))
+            for chain in by_diagonal.values():
+                out[did] |= {lines[i] for i in line_dedup.blocks_of(chain, words, min_words)}
+    return {k: v for k, v in out.items() if v}
+
+
+def scattered(rng, n):
+    """Documents of short common lines, passages, copies and gaps."""
+    common = [f"common {i} " + "w " * rng.randint(0, 3) for i in range(12)]
+    passages = [[f"p{i} l{j} " + "v " * rng.randint(0, 6) for j in range(rng.randint(3, 9))] for i in range(15)]
+    out = []
+    for d in range(n):
+        lines = []
+        for _ in range(rng.randint(1, 5)):
+            part = list(rng.choice(passages)) if rng.random() < 0.6 else rng.choices(common, k=rng.randint(1, 5))
+            for i in range(len(part)):
+                if rng.random() < 0.1:
+                    part[i] = f"own {d} {rng.random()}"
+            lines += part + [f"own {d} {rng.random()}"] * rng.randint(0, 2)
+        out.append("\n".join(lines))
+    return out
+
+
+def test_against_all_pairs(spark):
+    rng = random.Random(11)
+    rows = list(enumerate(scattered(rng, 60)))
+    expected = all_pairs(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(map(len, expected.values())) > 200
+
+    def found(rare):
+        got = line_dedup.line_dedup(table, every_copy=True, rare=rare).collect()
+        return {r.doc_id: set(r.removed) for r in got if r.removed}
+
+    assert found(60) == expected
+    some = found(4)
+    assert all(some[d] <= expected[d] for d in some)
+    assert sum(map(len, some.values())) >= 0.9 * sum(map(len, expected.values()))
+
+
+def test_lines_first_seen_in_several_documents(spark):
+    own = [f"line {i} of a passage" for i in range(8)]
+    owners = [f"{x}\nalone {i}" for i, x in enumerate(own)]
+    b = "\n".join(y for i, x in enumerate(own) for y in (x, f"b {i}"))
+    c = "\n".join(y for i, x in enumerate(own) for y in (x, f"c {i}"))
+    got = run(spark, *owners, b, c)
+    assert got[8].removed == [] and got[9].text == "\n".join(f"c {i}" for i in range(8))
+
+
+def test_long_repeats_stay_linear(spark):
+    text = "\n".join(["la la la"] * 20_000 + [f"x {i % 50}" for i in range(20_000)])
+    got = run(spark, text, "head\n" + text + "\ntail", "\n".join(["x 1"] * 30_000))
+    assert len(got[1].removed) == 40_000 and got[2].removed == []
