@@ -1,7 +1,10 @@
 import hashlib
+import pathlib
 import random
 import re
 
+import pytest
+
 from glyphmill.llm import secrets
 
 KEY = "q7Gk2LmZp9Xw4TbVr8Yc"
@@ -79,3 +82,61 @@ def test_keys_that_stand_twice():
     assert [a for _, a, _ in secrets.scan(cut)] == [11, len(cut) - 32]
     assert len(secrets.scan("bearer " + f"{key} " * 5)) >= 2
     assert secrets.scan(f"bearer {key.lower()[:8]}1" + " getElementByIdapplication1" * 2) == []
+
+
+ALPHABETS = {
+    "upper hex": "0123456789ABCDEF",
+    "lower hex": "0123456789abcdef",
+    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "base58": "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+PLACES = [
+    'def connect(host, credential="%s", timeout=30):\n    return Client(host, credential)\n',
+    'headers = {"Authorization": "Bearer %s"}\nresponse = requests.get(url, headers=headers)\n',
+    'const privateKey = "%s";\nmodule.exports = { privateKey };\n',
+    "client_id: %s\nregion: eu-west-1\n",
+]
+
+
+@pytest.mark.parametrize("name", list(ALPHABETS))
+def test_recall_of_planted_keys(name):
+    words = b" ".join(b"response headers timeout client connect module exports region import return".split() * 3)
+    for length in (16, 20, 24, 32, 40, 64, 88, 128, 256):
+        rng = random.Random(length)
+        for how in (secrets.Novelty(), secrets.Novelty(words=words), secrets.Novelty(around=None)):
+            found = 0
+            for i in range(40):
+                key = "".join(rng.choices(ALPHABETS[name], k=length))
+                text = "import os\nimport sys\n\n" + PLACES[i % 4] % key + '\nprint("done")\n'
+                at = text.index(key)
+                found += any(a < at + length and b > at for _, a, b in secrets.scan(text, how))
+            assert found >= 36, (length, how)
+
+
+def test_clean_code_has_few_findings():
+    files = [f for f in pathlib.Path(re.__file__).parents[1].glob("*.py")]
+    texts = [f.read_text(errors="replace") for f in files]
+    found = sum(k == "novel" for t in texts for k, _, _ in secrets.scan(t))
+    assert sum(map(len, texts)) > 2_000_000 and found <= 1.5 * sum(map(len, texts)) / 1e6
+
+
+def test_surroundings_are_a_parameter():
+    key = "Identifier7WithSomeLetters42AndMore"
+    text = f"{key[:17]} {key[17:]} " + "word " * 80 + f"credential {key}"
+    near = secrets.Novelty(novel=0.5)
+    assert [x[0] for x in secrets.scan(text, near)] == ["novel"]
+    assert secrets.scan(text, secrets.Novelty(novel=0.5, around=None)) == []
+
+
+def test_words_of_the_corpus(spark):
+    key = "zq7Gkabcdefgh2LmZp9Xw4TbVr8Yc"
+    code = [f"token = load_settings(region{i}, timeout)" for i in range(9)]
+    rows = [(i, f"{c}\ncredential {key}\n") for i, c in enumerate(code)] + [(50, None), (51, "unrelated words timeout")]
+    words = secrets.common_words(spark.createDataFrame(rows, "doc_id long, text string")).decode().split()
+    # the key's line is one line, however many documents hold it
+    assert set(words) == {"token", "load", "settings", "region", "timeout"}
+    assert secrets.common_words(spark.createDataFrame(rows, "doc_id long, text string").limit(0)) == b""
+    how = secrets.Novelty(words=" ".join(words).encode())
+    assert [x[0] for x in secrets.scan(f"credential {key}", how)] == ["novel"]
