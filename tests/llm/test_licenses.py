@@ -58,7 +58,13 @@ def test_query(docs, none, spark):
         ("Licensed under the terms of the BSD 3-Clause License", {"BSD-3-Clause-notice"}),
         ("Licensed under CC BY-NC 4.0.", {"CC-BY-NC-4.0-notice"}),
         ("Licensed under the Foo License.", set()),
-        ("This work is licensed under the GNU Lesser General Public License, version 3.", set()),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", {"LGPL-3.0-notice"}),
+        ("Licensed under the GNU Lesser General Public License v2.1", {"LGPL-2.1-notice-v"}),
+        ("released under the GNU Affero General Public License, version 3", {"AGPL-3.0-released"}),
+        ("Licensed under the BSD 2-Clause License", {"BSD-2-Clause-notice"}),
+        ("# SPDX-License-Identifier: Apache-2.0", {"SPDX-Apache-2.0"}),
+        ("SPDX-License-Identifier: MIT-0", {"SPDX-MIT-0"}),
+        ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", set()),
     ],
 )
 def test_edited_notices(text, names):
@@ -66,6 +72,69 @@ def test_edited_notices(text, names):
     assert {x[0] for x in found} == names and all(x[1] == 1.0 for x in found)
 
 
+def test_one_word_less_of_a_short_notice():
+    assert [(x[0], x[1]) for x in licenses.scan("Released under MIT License", INDEX)] == [("MIT-notice", 0.8)]
+    text = "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 License"
+    assert [x[0] for x in licenses.scan(text, INDEX)] == ["CC-BY-SA-4.0-line"]
+
+
+def test_many_common_licenses():
+    whole = [n for n in licenses.TEMPLATES if n not in licenses.NAMES and not n.endswith("-header")]
+    assert len(whole) >= 24 and len(licenses.TEMPLATES) >= 150
+    # two whole texts with fragments between them, and a text beside a longer one that holds its words
+    words = licenses.TEMPLATES["MIT"].split()
+    between = " x ".join(" ".join(words[i : i + 9]) for i in range(0, 90, 9))
+    found = [x for x in licenses.scan(" ".join(words) + f" {between} " + " ".join(words), INDEX) if x[0] == "MIT"]
+    assert [x[1] for x in found] == [1.0, 1.0]
+    edited = "The Software " + licenses.TEMPLATES["BSD-3-Clause"].replace("HOLDERS", "OWNERS")
+    assert [x[0] for x in licenses.scan(edited, INDEX)] == ["BSD-3-Clause"]
+
+
+def test_notices_in_a_row():
+    text = "\n".join(["Licensed under the MIT License."] * 7)
+    assert [x[2:] for x in licenses.scan(text, INDEX)] == [(32 * i, 32 * i + 30) for i in range(7)]
+
+
+def without_index(ids):
+    """Every template aligned with the whole document."""
+    out = []
+    for t, template in enumerate(INDEX.words):
+        if len(template) > 250:
+            continue
+        left, least = ids, licenses.COVERAGE * len(template)
+        while True:
+            hit = licenses.align(template, left, -len(template), len(left))
+            if not hit or hit[0] < least:
+                break
+            if INDEX.holds_names(t, left[hit[1] : hit[2] + 1].tolist()):
+                out.append((t, *hit))
+            left = left.copy()
+            left[hit[1] : hit[2] + 1] = 0
+    return licenses.settled(out, INDEX)
+
+
+def test_scan_against_alignment_without_the_index():
+    rng = np.random.default_rng(8)
+    small = [t for t, w in enumerate(INDEX.words) if len(w) <= 250]
+    missed = total = 0
+    for _ in range(12):
+        doc = []
+        for t in rng.choice(small, 4):
+            part = INDEX.words[t].tolist()
+            for _ in range(int(rng.integers(0, len(part) // 12 + 1))):
+                part[int(rng.integers(0, len(part)))] = int(rng.integers(0, len(INDEX.vocabulary)))
+            doc += rng.integers(0, 40, 15).tolist() + part
+        ids = np.asarray(doc)
+        got = licenses.settled(list(licenses.matches(ids, INDEX)), INDEX)
+        for t, m, first, last in without_index(ids):
+            total += 1
+            missed += not any(g[0] == t and g[1] >= m and g[2] <= last and first <= g[3] for g in got)
+        for t, m, first, last in got:
+            if len(INDEX.words[t]) <= 250:
+                assert m >= licenses.COVERAGE * len(INDEX.words[t]) and last < len(ids) and first >= 0
+    assert total >= 40 and missed <= 0.02 * total
+
+
 def test_recall_of_short_templates_without_the_index():
     rng = np.random.default_rng(4)
     for t, template in enumerate(INDEX.words):
