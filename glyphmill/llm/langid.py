@@ -8,8 +8,10 @@ name, as a sparse product.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0;
 ties go to the first language in byte order; texts of any length are scored in
-slices; with no labelled document at all every prediction is ``und``; an empty
-table gives an empty result; further columns of the input are ignored.
+slices; with no labelled document at all every prediction is ``und``; labels of
+fewer than ``min_support`` documents are not learned, and more than
+``MAX_LABELS`` others are refused, as the matrix grows with them; an empty table
+gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ ORDERS = 3
 SAMPLE = 3000
 SLICE = 1 << 19
 UNKNOWN = "und"
+MAX_LABELS = 256
 
 
 def slices(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -114,10 +117,14 @@ class LanguageModel:
         return total
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, alpha: float = 0.5) -> LanguageModel:
+def fit(labelled: DataFrame, sample: int = SAMPLE, alpha: float = 0.5, min_support: int = 1) -> LanguageModel:
     """Train on ``text`` and ``lang``; ``doc_id`` only decides which rows are sampled for grams; priors count all."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    support = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_support)
+    counts = {r.lang: r.n for r in support.limit(MAX_LABELS + 1).collect()}
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"over {MAX_LABELS} labels; raise min_support to leave out rare ones")
+    rows = rows.where(F.col("lang").isin(*counts))
     langs = sorted(counts, key=lambda v: v.encode())
     if not langs:
         return LanguageModel([], np.zeros((BUCKETS + 1, 0)), np.zeros(0))
