@@ -26,6 +26,7 @@ from glyphmill.llm._tables import lookup, materialise, running_offsets, sha256
 
 LUMPS = 32
 GRAINS = (0.9, 0.99)
+PER_BUCKET = LUMPS * (len(GRAINS) + 1)
 GIANT_SHARE = 4096
 SLOT_BUCKETS = 1024
 
@@ -91,7 +92,7 @@ def _lump_bucket(group: pd.DataFrame) -> pd.DataFrame:
         {
             "item": ordered["item"].to_numpy(),
             "bytes": ordered["bytes"].to_numpy(),
-            "lump": ordered["bucket"].to_numpy() * (LUMPS * (len(GRAINS) + 1)) + lumps,
+            "lump": ordered["bucket"].to_numpy() * PER_BUCKET + lumps,
         }
     )
 
@@ -119,8 +120,9 @@ def assign_groups(
     placed = _level(groups.where(~giant).select(F.col("gid").alias("item"), "bytes"), "binary", n, bucket_rows)
     sums = materialise(placed.groupBy("lump").agg(F.sum("bytes").alias("bytes")), "lump-sums")
     count = sums.count()
-    while count > item_bound:
-        up = _level(sums.withColumnRenamed("lump", "item"), "long", count, bucket_rows)
+    while count > max(item_bound, PER_BUCKET):
+        # buckets of several times the lumps that each is turned into, so that every level has fewer
+        up = _level(sums.withColumnRenamed("lump", "item"), "long", count, max(bucket_rows, 4 * PER_BUCKET))
         step = up.select(F.col("item").alias("lump"), F.col("lump").alias("next"))
         placed = placed.join(step, "lump").select("item", "bytes", F.col("next").alias("lump"))
         sums = materialise(up.groupBy("lump").agg(F.sum("bytes").alias("bytes")), "lump-sums")

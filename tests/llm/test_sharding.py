@@ -1,8 +1,10 @@
+import itertools
 import random
 import zlib
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from glyphmill.llm import sharding
 
@@ -17,11 +19,54 @@ def test_difference_is_a_partition(sizes, k):
         assert max(sums) - min(sums) == sharding.spread(bins, sizes, k) <= max(sizes) * (1 if k > 1 else 99)
 
 
+def greedy(sizes, k):
+    """The largest first, each into the lightest bin."""
+    sums, bins = [0] * k, [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        bins[i] = min(range(k), key=sums.__getitem__)
+        sums[bins[i]] += sizes[i]
+    return bins
+
+
+def least_spread(sizes, k):
+    """The best of all assignments."""
+    return min(sharding.spread(list(b), sizes, k) for b in itertools.product(range(k), repeat=len(sizes)))
+
+
 def test_difference_beats_greedy():
     rng = random.Random(1)
     sizes = [rng.randint(1, 100_000) for _ in range(4000)]
     assert sharding.spread(sharding.difference(sizes, 8), sizes, 8) <= 3
     assert sharding.spread(sharding.difference([8, 7, 6, 5, 4], 2), [8, 7, 6, 5, 4], 2) == 2
+    better = worse = 0
+    for _ in range(50):
+        sizes = [rng.randint(1, 10_000) for _ in range(rng.randint(20, 200))]
+        own = sharding.spread(sharding.difference(sizes, 8), sizes, 8)
+        other = sharding.spread(greedy(sizes, 8), sizes, 8)
+        better, worse = better + (own < other), worse + (own > other)
+    assert better >= 45 and worse <= 3
+
+
+def test_difference_against_the_optimum():
+    rng = random.Random(2)
+    own = best = other = 0
+    for _ in range(30):
+        sizes = [rng.randint(1, 1000) for _ in range(8)]
+        own += sharding.spread(sharding.difference(sizes, 3), sizes, 3)
+        other += sharding.spread(greedy(sizes, 3), sizes, 3)
+        best += least_spread(sizes, 3)
+        assert sharding.spread(sharding.difference(sizes, 3), sizes, 3) >= least_spread(sizes, 3)
+    assert best <= own < other
+
+
+def test_shards_are_as_even_as_the_largest_group_allows(spark):
+    rng = random.Random(3)
+    texts = ["x" * rng.randint(0, 400) + str(i // 3) for i in range(3000)]  # groups of up to three
+    texts = [texts[i - i % 3] if rng.random() < 0.5 else t for i, t in enumerate(texts)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for options in ({}, {"bucket_rows": 100, "item_bound": 200}):
+        sums = [r.s for r in sharding.shard_documents(table, **options).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+        assert len(sums) == 8 and max(sums) - min(sums) <= 8
 
 
 def test_shards(docs, rows, none):
