@@ -14,8 +14,10 @@ the input are ignored.
 
 from __future__ import annotations
 
+import string
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +31,10 @@ from glyphmill.llm._tables import materialise, running_offsets
 WINDOW = 4096
 MEMO = 250_000
 PART_BROADCAST = 1 << 20
+PLAIN_END = 0x180
+PLAIN_LAST = chr(PLAIN_END)
+DOTTED = "\u0130"
+PUNCTUATION = string.punctuation.replace("'", "")
 TOKENS = "doc_id long, part int, local_start long, n long, ids binary"
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -40,9 +46,13 @@ class ChunkTokenizer:
     """Ids of whole texts, with a bounded memo of chunks between ASCII blanks.
 
     For a tokenizer that drops white space, ids never depend on what stands
-    beyond a blank, so a text's ids are its chunks' ids in order. New chunks are
-    encoded together, parted by the digit 0, whose single id marks the borders;
-    chunks that hold that digit or a special token are encoded one by one.
+    beyond a blank, so a text's ids are its chunks' ids in order. Where a
+    tokenizer also lowers case and parts letters from punctuation, as probes
+    find, a chunk of plain letters with punctuation behind is looked up by its
+    two parts, and new letters go to the tokenizer's model at once. Other new
+    chunks are encoded together, parted by the digit 0, whose single id marks
+    the borders; chunks that hold that digit or a special token are encoded one
+    by one.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -52,23 +62,70 @@ class ChunkTokenizer:
         self.special = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
         self.mark = self._ids("0")
         self.width = np.dtype("<u4" if self.encoder.get_vocab_size() > 1 << 16 else "<u2")
+        self.code = "I" if self.width.itemsize == 4 else "H"
         self.memo, self.young, self.old = memo, {}, {}
+        self.letters = self._letters()
         self.local = self._local()
+        self.parted = self.local and self._parted()
 
     def _ids(self, text: str) -> list[int]:
         return self.encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def _letters(self) -> dict[int, str]:
+        """What a byte-level model sees of the letters below ``PLAIN_END`` that are not ASCII."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        codes = (i for i in range(0x80, PLAIN_END) if chr(i).isalpha())
+        return {i: byte_level.pre_tokenize_str(chr(i))[0][0] for i in codes}
+
     def _local(self) -> bool:
-        probe = ["ab", "c.", "d's", "1", "é", "é"]
+        probe = ["ab", "c.", "d's", "1", "é", "é"]
         alone = [i for p in probe for i in self._ids(p)]
         return len(self.mark) == 1 and all(self._ids(s.join(probe)) == alone for s in (" ", "\n", "\t", "  "))
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.young) > self.memo:
-            self.old, self.young = self.young, {}
+    def _parted(self) -> bool:
+        words = ["ab", "hello", "xqzzv", "élan", "straße", "œuvre", "niño"]
+        ends = [",", "...", "!?", "###", ")", "_", "&&&,"]
+        return all(
+            self._model(w) == self._ids(w) == self._ids(w.title()) == self._ids(w.upper() if w != "straße" else w)
+            and all(self._ids(w + e) == self._ids(w) + self._ids(e) for e in ends)
+            for w in words
+        )
+
+    def _model(self, letters: str) -> list[int]:
+        seen = letters if letters.isascii() else letters.translate(self.letters)
+        return [t.id for t in self.encoder.model.tokenize(seen)]
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.asarray(ids, self.width).tobytes()
+
+    def _learn(self, chunks: Iterable[str]) -> None:
+        """Put chunks into the young memo, from the old one or by encoding them."""
+        young, old = self.young, self.old
         plain, odd = [], []
         for c in chunks:
-            (odd if "0" in c or any(s in c for s in self.special) else plain).append(c)
+            known = old.get(c)
+            if known is not None:
+                young[c] = known
+                continue
+            word = c.rstrip(PUNCTUATION) if self.parted else ""
+            if word.isalpha() and (word.isascii() or (max(word) < PLAIN_LAST and DOTTED not in word)):
+                low = word.lower()
+                ids = young.get(low) or old.get(low)
+                if ids is None:
+                    ids = young[low] = struct.pack(f"<{len(x)}{self.code}", *x) if (x := self._model(low)) else b""
+                end = c[len(word) :]
+                if end:
+                    tail = young.get(end)
+                    if tail is None:
+                        tail = young[end] = self._packed(self._ids(end))
+                    ids += tail
+                young[c] = ids
+            elif "0" in c or any(s in c for s in self.special):
+                odd.append(c)
+            else:
+                plain.append(c)
         for at in range(0, len(plain), 20_000):
             some = plain[at : at + 20_000]
             ids = np.asarray(self._ids(" 0 ".join(some)), self.width)
@@ -80,31 +137,22 @@ class ChunkTokenizer:
             ends = [*(cuts * w).tolist(), len(raw)]
             begin = 0
             for c, end in zip(some, ends, strict=True):
-                self.young[c] = raw[begin:end]
+                young[c] = raw[begin:end]
                 begin = end + w
         for c in odd:
-            self.young[c] = np.asarray(self._ids(c), self.width).tobytes()
+            young[c] = self._packed(self._ids(c))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of ``self.width``."""
         if not self.local:
-            return [np.asarray(self._ids(t), self.width).tobytes() for t in texts]
+            return [self._packed(self._ids(t)) for t in texts]
+        if len(self.young) > self.memo:
+            self.old, self.young = self.young, {}
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        young, old = self.young, self.old
-        new = {}
-        for chunks in split:
-            for c in chunks:
-                if c not in young:
-                    if c in old:
-                        young[c] = old[c]
-                    else:
-                        new[c] = None
-        new.pop("", None)
-        young[""] = b""
+        self.young[""] = b""
+        new = set().union(*split).difference(self.young)
         if new:
-            self._learn(list(new))
-            if self.young is not young:  # a new generation began
-                return [b"".join([self.young[c] if c in self.young else self.old[c] for c in s]) for s in split]
+            self._learn(new)
         return [b"".join(map(self.young.__getitem__, s)) for s in split]
 
 

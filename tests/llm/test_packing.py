@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -48,3 +49,14 @@ def test_pieces(docs, rows, none, reference, window):
             at += length
         assert at == window or s == len(filled) - 1
     assert packing.pack_documents(none, PATH).count() == 0
+
+
+def test_chunks_of_odd_letters_and_punctuation(reference):
+    rng = random.Random(5)
+    letters = [*"abcxyzABCéßÉœŒİıſŉµªº'’.,;:!?#$%_-0123٣́<|>", "'s", "'ll", "<|endoftext|>", " ", "\n", "\t", "\x0b", "汉", "Σ", "ŀ"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 25))) for _ in range(4000)]
+    own = packing.ChunkTokenizer(PATH, 2000)
+    assert own.parted
+    for at in range(0, len(texts), 100):
+        some = texts[at : at + 100]
+        assert [np.frombuffer(x, own.width).tolist() + [2] for x in own.encode(some)] == [reference(t) for t in some]
