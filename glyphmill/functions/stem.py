@@ -20,23 +20,28 @@ from glyphmill.functions.lexicon import IRREGULAR_PLURALS, IRREGULAR_VERBS, NO_C
 _VOWELS = frozenset(b"aeiou")
 
 
-def _rules(table: str) -> list[tuple[bytes, bytes]]:
-    """``suffix>replacement`` entries, a longer suffix before those it ends in."""
-    pairs = [(a.encode(), b.encode()) for a, b in (x.split(">") for x in table.split())]
-    return sorted(pairs, key=lambda p: (-len(p[0]), p[0]))
-
-
-_NOUNS = _rules(
-    "alism>al aliti>al alli>al abli>able anci>ance ational>ate ation>ate ator>ate biliti>ble eli>e enci>ence "
-    "entli>ent fulness>ful iveness>ive iviti>ive ization>ize izer>ize ousli>ous ousness>ous tional>tion"
-)
-_NOUNS_MORE = _rules(
-    "logi>log alism>al aliti>al alli>al abli>able anci>ance ational>ate ation>ate ator>ate biliti>ble eli>e "
-    "enci>ence entli>ent fulness>ful iveness>ive iviti>ive ization>ize izer>ize ousli>ous ousness>ous tional>tion"
-)
-_FORMS = _rules("ness> ful> ical>ic iciti>ic icate>ic alize>al ative>")
-_ENDS = _rules("ize> ive> ous> iti> ate> ism> ou> ion> ent> ment> ement> ant> ible> able> ic> er> ence> ance> al>")
-_ENDS_MORE = _rules("y>i al> ly> ing> ed> er> ion> ize> ive> ous> iti> ate> ism> ent> ant> ible> able> ment> ement>e")
+# Suffixes and what replaces them, in the order in which they apply, the longest first.
+_NOUNS = [
+    (b"ational", b"ate"), (b"fulness", b"ful"), (b"iveness", b"ive"), (b"ization", b"ize"), (b"ousness", b"ous"),
+    (b"biliti", b"ble"), (b"tional", b"tion"), (b"alism", b"al"), (b"aliti", b"al"), (b"ation", b"ate"),
+    (b"entli", b"ent"), (b"iviti", b"ive"), (b"ousli", b"ous"), (b"abli", b"able"), (b"alli", b"al"),
+    (b"anci", b"ance"), (b"ator", b"ate"), (b"enci", b"ence"), (b"izer", b"ize"), (b"eli", b"e"),
+]
+_NOUNS_MORE = [*_NOUNS, (b"logi", b"log")]  # no other suffix ends in this one
+_FORMS = [
+    (b"alize", b"al"), (b"ative", b""), (b"icate", b"ic"), (b"iciti", b"ic"), (b"ical", b"ic"), (b"ness", b""),
+    (b"ful", b""),
+]
+_ENDS = [
+    (b"ement", b""), (b"able", b""), (b"ance", b""), (b"ence", b""), (b"ible", b""), (b"ment", b""), (b"ant", b""),
+    (b"ate", b""), (b"ent", b""), (b"ion", b""), (b"ism", b""), (b"iti", b""), (b"ive", b""), (b"ize", b""),
+    (b"ous", b""), (b"al", b""), (b"er", b""), (b"ic", b""), (b"ou", b""),
+]
+_ENDS_MORE = [
+    (b"ement", b"e"), (b"able", b""), (b"ible", b""), (b"ment", b""), (b"ant", b""), (b"ate", b""), (b"ent", b""),
+    (b"ing", b""), (b"ion", b""), (b"ism", b""), (b"iti", b""), (b"ive", b""), (b"ize", b""), (b"ous", b""),
+    (b"al", b""), (b"ed", b""), (b"er", b""), (b"ly", b""), (b"y", b"i"),
+]
 
 
 def _strip(s: bytes, n: int) -> bytes:
