@@ -26,7 +26,11 @@ ACCENTED = "".join(_PLAIN.values()) + "".join(_PLAIN.values()).upper() + "ÿ"
 BARE = "".join(k * len(v) for k, v in _PLAIN.items())
 BARE = BARE + BARE.upper() + "y"
 COMBINING = "".join(map(chr, range(0x300, 0x370)))
-_MAIL = "[A-Za-z0-9_.+%-]"
+TAG = r"""<(?=[/!?A-Za-z])(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>"""
+URL = rf"""(?=https?://|www\.)[^{BLANK}]*[^{BLANK}.!?;:)\]}}"']"""
+_MAIL_END = "A-Za-z0-9_+%-"
+_MAIL = f"[{_MAIL_END}.]"
+EMAIL = rf"(?:\G|(?<!{_MAIL})){_MAIL}++@{_MAIL}[{_MAIL_END}]*+(?:\.++[{_MAIL_END}]++)+"
 
 
 def literal_replacement(text: str) -> str:
@@ -58,17 +62,20 @@ def replace_numbers(c: Column, replacement: str = "") -> Column:
 
 def strip_html(c: Column) -> Column:
     """Tags that close outside quotes; everything else is text."""
-    return F.regexp_replace(c, r"""<(?=[/!?A-Za-z])(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>""", "")
+    return F.regexp_replace(c, TAG, "")
 
 
 def replace_urls(c: Column, replacement: str = "<url>") -> Column:
-    pattern = rf"""(?=https?://|www\.)[^{BLANK}]*[^{BLANK}.!?;:)\]}}"']"""
-    return F.regexp_replace(c, pattern, literal_replacement(replacement or "<url>"))
+    return F.regexp_replace(c, URL, literal_replacement(replacement or "<url>"))
 
 
 def replace_emails(c: Column, replacement: str = "<email>") -> Column:
-    pattern = rf"{_MAIL}+@{_MAIL}+\.{_MAIL}*[A-Za-z0-9_+%-]"
-    return F.regexp_replace(c, pattern, literal_replacement(replacement or "<email>"))
+    """Local part, at sign and a domain with a dot that ends in no dot.
+
+    A match starts where a run of characters does, or the match before ended,
+    and no part is given back, so that long runs cost no more than their length.
+    """
+    return F.regexp_replace(c, EMAIL, literal_replacement(replacement or "<email>"))
 
 
 def expand_contractions(c: Column) -> Column:

@@ -38,18 +38,25 @@ def whitespace_tokens(c: Column, lower: bool = True, min_length: int = 1) -> Col
 def pattern_tokens(c: Column, pattern: str, lower: bool = False, min_length: int = 0) -> Column:
     r"""``\w+``, ``\d+``, ``\s+``, ``[chars]`` (members as they stand), else any character of ``pattern``.
 
-    Members beyond ASCII are not supported: they would match single bytes.
+    Members are bytes: with one beyond ASCII the text is matched byte by byte,
+    and a token that cuts a character has U+FFFD for what is left of it.
     """
     named = {r"\w+": "[A-Za-z0-9]", r"\d+": "[0-9]", r"\s+": f"[{BLANK}]"}
     if pattern in named:
         return _runs(c, named[pattern], lower, min_length)
     chars = pattern[1:-1] if pattern.startswith("[") and pattern.endswith("]") else pattern
-    if not chars.isascii():
-        raise ValueError("pattern members must be ASCII")
     if not chars:
         return F.when(c.isNotNull(), F.array().cast(_NO_STRINGS))
-    members = "".join(re.escape(x) if not x.isalnum() else x for x in dict.fromkeys(chars))
-    return _runs(c, f"[{members}]", lower, min_length)
+    if chars.isascii():
+        members = "".join(re.escape(x) if not x.isalnum() else x for x in dict.fromkeys(chars))
+        return _runs(c, f"[{members}]", lower, min_length)
+    # one character a byte, so that a class of bytes is a class of characters
+    members = "".join(f"\\x{b:02x}" for b in sorted(set(chars.encode())))
+    found = _runs(F.decode(F.encode(c, "UTF-8"), "ISO-8859-1"), f"[{members}]", False, 1)
+    whole = F.transform(found, lambda t: F.encode(t, "ISO-8859-1"))
+    tokens = F.transform(whole, lambda t: F.make_valid_utf8(t.cast("string")))
+    tokens = F.transform(tokens, F.lower) if lower else tokens
+    return F.filter(tokens, lambda t: F.octet_length(t) >= min_length) if min_length > 1 else tokens
 
 
 def char_ngrams(c: Column, n: int, lower: bool = True) -> Column:
@@ -71,9 +78,23 @@ def sentences(c: Column, discard_empty: bool = True) -> Column:
 
 
 def is_sentence_boundary(c: Column, at: Column) -> Column:
-    """Whether the code point at 0-based ``at`` ends a sentence."""
-    pair = F.substring(c, at + 1, F.lit(2))
-    return pair.rlike(rf"^[.!?]([{BLANK}]|\z)")
+    """Whether the byte at 0-based ``at`` ends a sentence; false beyond the text.
+
+    A byte inside a character is no terminator, and a character after one is no blank.
+    """
+    raw = F.encode(c, "UTF-8")
+    byte = F.substring(raw, at + 1, F.lit(1))
+    after = F.substring(raw, at + 2, F.lit(1))
+    ends = byte.isin(*[F.lit(x.encode()) for x in ".!?"])
+    blank = after.isin(*[F.lit(x.encode()) for x in " \t\n\x0b\f\r"])
+    return F.when(c.isNotNull() & at.isNotNull(), (at >= 0) & ends & (blank | (F.octet_length(after) == 0)))
+
+
+def drained(tokens: Column, run: Column, lower: bool = True, min_length: int = 1) -> Column:
+    """``tokens`` with one more run of characters, if it is long enough in bytes and not empty."""
+    token = F.lower(run) if lower else run
+    fits = (F.octet_length(run) > 0) & (F.octet_length(token) >= min_length)
+    return F.when(fits, F.concat(tokens, F.array(token))).otherwise(tokens)
 
 
 def windows(items: Column, n: int, empty: str = _NO_GRAMS) -> Column:

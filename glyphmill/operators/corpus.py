@@ -12,10 +12,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from glyphmill.functions.tokenize import windows
 
 _NO_COUNTS = "array<struct<term:string,tf:bigint>>"
+BLOCK = 1 << 15
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -27,7 +29,8 @@ def no_nulls(tokens: Column) -> Column:
     return F.coalesce(tokens, F.array().cast("array<string>"))
 
 
-def _runs(ordered: Column) -> Column:
+def sorted_runs(ordered: Column, kind: str = _NO_COUNTS) -> Column:
+    """``array<struct<term, tf>>`` of equal neighbours."""
     n = F.size(ordered)
 
     def at_end(i: Column) -> Column:
@@ -42,12 +45,12 @@ def _runs(ordered: Column) -> Column:
             ),
         )
 
-    return F.when(n > 0, let(F.filter(F.sequence(F.lit(1), n), at_end), counted)).otherwise(F.array().cast(_NO_COUNTS))
+    return F.when(n > 0, let(F.filter(F.sequence(F.lit(1), n), at_end), counted)).otherwise(F.array().cast(kind))
 
 
 def term_counts(tokens: Column) -> Column:
     """``array<struct<term, tf>>`` of a token array, in byte order of the terms."""
-    return let(F.sort_array(no_nulls(tokens)), _runs)
+    return let(F.sort_array(no_nulls(tokens)), lambda t: sorted_runs(t))
 
 
 def count_items(rows: DataFrame, key: str, name: str = "cnt") -> DataFrame:
@@ -135,20 +138,53 @@ def vocabulary_first_seen(docs: DataFrame) -> DataFrame:
 def vocabulary(docs: DataFrame) -> DataFrame:
     """``term, term_id``: ids by first occurrence, from 0.
 
-    First occurrences are ranked by document in a distributed way: a range sort
-    by document, ranks inside each document, and offsets from the documents'
-    running totals, which are sums of a table of one row a document slice.
+    First occurrences are ranked inside slices of 1,024 document numbers, and
+    the slices' totals are summed in two steps, inside blocks of ``BLOCK``
+    slices and over the blocks, so that a task holds a block and never a table.
     """
     first = vocabulary_first_seen(docs)
-    slices = F.shiftright("first_doc", 10)
     inside = Window.partitionBy("slice").orderBy("first_doc", "first_pos")
-    ranked = first.withColumn("slice", slices).withColumn("rank", F.row_number().over(inside))
-    totals = ranked.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
-    ahead = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("slice", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
+    ranked = first.withColumn("slice", F.shiftright("first_doc", 10)).withColumn("rank", F.row_number().over(inside))
+    totals = ranked.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.expr(f"slice div {BLOCK}"))
+    blocks = totals.groupBy("block").agg(F.sum("n").alias("n"))
+    before = blocks.select("block", F.coalesce(F.sum("n").over(_ahead(Window.orderBy("block"))), F.lit(0)).alias("base"))
+    within = _ahead(Window.partitionBy("block").orderBy("slice"))
+    starts = totals.withColumn("own", F.coalesce(F.sum("n").over(within), F.lit(0))).join(before, "block")
+    starts = starts.select("slice", (F.col("base") + F.col("own")).alias("start"))
     return ranked.join(starts, "slice").select("term", (F.col("start") + F.col("rank") - 1).alias("term_id"))
 
 
+def _ahead(w: WindowSpec) -> WindowSpec:
+    return w.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def extend_vocabulary(vocab: DataFrame, docs: DataFrame) -> DataFrame:
+    """``vocab`` with the terms of further documents, numbered on by first occurrence."""
+    new = docs.select(
+        "doc_id", F.posexplode(no_nulls(F.col("tokens"))).alias("pos", "term")
+    ).join(vocab.select("term"), "term", "left_anti")
+    held = new.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("t"))
+    own = held.select("doc_id", F.transform("t", lambda x: x["term"]).alias("tokens"))
+    size = F.broadcast(vocab.agg((F.coalesce(F.max("term_id"), F.lit(-1)) + 1).alias("size")))  # one row
+    added = vocabulary(own).join(size, F.lit(True)).select("term", (F.col("term_id") + F.col("size")).alias("term_id"))
+    return vocab.select("term", "term_id").unionByName(added)
+
+
+def lookup_terms(ids: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``ids (term_id)`` with ``term``, empty for unknown ones."""
+    return ids.join(vocab, "term_id", "left").withColumn("term", F.coalesce("term", F.lit("")))
+
+
+def contains_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``terms`` with ``known``."""
+    return terms.join(vocab.select("term", F.lit(True).alias("known")), "term", "left").fillna(False, ["known"])
+
+
+def contains_ids(ids: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``ids`` with ``known``."""
+    return ids.join(vocab.select("term_id", F.lit(True).alias("known")), "term_id", "left").fillna(False, ["known"])
+
+
 def lookup_ids(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     """``terms`` with ``term_id``, -1 for unknown ones."""
     return terms.join(vocab, "term", "left").withColumn("term_id", F.coalesce("term_id", F.lit(-1)).cast("long"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions.tokenize import Tokenizer  # noqa: F401  (part of this module's surface)
-from glyphmill.operators.corpus import no_nulls
+from glyphmill.operators.corpus import let, no_nulls, sorted_runs
 from glyphmill.operators.similarity import map_cosine, map_norm
 
 EMPTY = "map<bigint,double>"
@@ -124,23 +124,33 @@ class HashingVectorizer:
         )
 
     def transform(self, tokens: Column) -> Column:
-        """The vector of a token array inside its row, as a map; for streams too."""
-        signs = F.transform(
-            no_nulls(tokens),
-            lambda t: F.struct(
-                hash_bucket(t, self.dim, self.hash_fn).alias("b"),
-                (hash_sign(t, self.hash_fn) if self.signed else F.lit(1.0)).alias("s"),
-            ),
-        )
-        buckets = F.array_distinct(F.transform(signs, lambda x: x["b"]))
-        sums = F.transform(
-            buckets,
-            lambda b: F.struct(
-                b.alias("key"),
-                F.aggregate(F.filter(signs, lambda x: x["b"] == b), F.lit(0.0), lambda a, x: a + x["s"]).alias("value"),
-            ),
-        )
-        return F.map_filter(F.map_from_entries(sums), lambda k, v: v != 0)
+        """The vector of a token array inside its row, as a map; for streams too.
+
+        A token becomes twice its bucket, and one more if its sign is positive;
+        sorted, these are counted in runs, and a bucket's two runs are neighbours.
+        """
+        def key(t: Column) -> Column:
+            plus = (hash_sign(t, self.hash_fn) > 0).cast("long") if self.signed else F.lit(1)
+            return hash_bucket(t, self.dim, self.hash_fn) * 2 + plus
+
+        def signed(run: Column) -> Column:
+            return F.when(run["term"] % 2 == 1, run["tf"]).otherwise(-run["tf"]).cast("double")
+
+        def sums(runs: Column) -> Column:
+            def entry(run: Column, i: Column) -> Column:
+                after = F.get(runs, i + 1)
+                same = F.shiftright(after["term"], 1) == F.shiftright(run["term"], 1)
+                value = signed(run) + F.when(same, signed(after)).otherwise(F.lit(0.0))
+                before = F.when(i > 0, F.shiftright(F.get(runs, i - 1)["term"], 1))
+                first = before.isNull() | (before != F.shiftright(run["term"], 1))
+                return F.struct(F.shiftright(run["term"], 1).alias("key"), value.alias("value"), first.alias("first"))
+
+            kept = F.filter(F.transform(runs, entry), lambda e: e["first"] & (e["value"] != 0))
+            return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], e["value"])))
+
+        keys = F.sort_array(F.transform(no_nulls(tokens), key))
+        counted = let(keys, lambda k: sorted_runs(k, "array<struct<term:bigint,tf:bigint>>"))
+        return let(counted, sums)
 
 
 def transform_hashing(docs: DataFrame, dim: int = 65536, signed: bool = True, hash_fn: HashFn = xx_hash) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.normalize import Step
 from glyphmill.functions.tokenize import Tokenizer
-from glyphmill.operators.corpus import no_nulls
+from glyphmill.operators.corpus import no_nulls, term_counts
 
 
 def tokenized_stream(stream: DataFrame, text: str, tokenizer: Tokenizer, pipeline: Step | None = None) -> DataFrame:
@@ -18,9 +18,8 @@ def tokenized_stream(stream: DataFrame, text: str, tokenizer: Tokenizer, pipelin
 
 def running_term_counts(stream: DataFrame) -> DataFrame:
     """``term, cf, df`` so far, for update or complete mode."""
-    each = stream.select(F.explode(F.array_distinct(no_nulls(F.col("tokens")))).alias("term"), "tokens")
-    times = F.size(F.filter("tokens", lambda t: t == F.col("term")))
-    return each.groupBy("term").agg(F.sum(times).alias("cf"), F.count(F.lit(1)).alias("df"))
+    each = stream.select(F.inline(term_counts(F.col("tokens"))))
+    return each.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
 
 
 def windowed_term_counts(stream: DataFrame, ts: str, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:

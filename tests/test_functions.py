@@ -1,7 +1,12 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.functions import distance, normalize, stem, stopwords, tokenize
+from glyphmill.functions import distance, lexicon, normalize, stem, stopwords, tokenize
+from glyphmill.plans import oracles, stem_sql
 
 TEXT = [
     (normalize.lowercase, "HeLLo ÉCOLE", "hello école"),
@@ -129,3 +134,94 @@ def test_distances(apply2):
     for bad in ({"prefix_weight": -0.1}, {"max_prefix": -1}):
         with pytest.raises(ValueError):
             distance.jaro_winkler(F.lit("a"), F.lit("b"), **bad)
+
+
+STAGES = [
+    (stem.step1ab, "caresses", "caress"), (stem.step1ab, "ponies", "poni"), (stem.step1ab, "cats", "cat"),
+    (stem.step1ab, "hopping", "hop"), (stem.step1ab, "agreed", "agreed"), (stem.step1c, "happy", "happi"),
+    (stem.step1c, "sky", "sky"), (stem.step2, "relational", "relate"), (stem.step3, "electrical", "electric"),
+    (stem.step4, "conditional", "condition"), (stem.step5ab, "probate", "probat"), (stem.step5ab, "controll", "control"),
+    (stem.smart_step_ed_ing, "hopping", "hop"), (stem.smart_step_ed_ing, "talked", "talk"),
+    (stem.smart_step3, "relational", "relate"), (stem.smart_step4, "electrical", "electric"),
+    (stem.smart_step5, "happy", "happi"), (stem.smart_step_final_e, "probate", "probat"),
+    (stem.smart_step_double_l, "fall", "fal"),
+]
+
+
+@pytest.mark.parametrize("stage,word,expected", STAGES)
+def test_stem_stages(stage, word, expected):
+    assert stage(word.encode()).decode() == expected
+
+
+def test_plurals_and_irregular_forms():
+    assert stem.smart_step_y(b"happy", b"happy") == b"happi" and stem.smart_step_y(b"city", b"cities") == b"city"
+    found = {w: stem.lookup_irregular(w) for w in ("mice", "went", "cat")}
+    assert found == {"mice": (True, "mouse"), "went": (True, "go"), "cat": (False, "cat")}
+    plurals = {"cats": "cat", "cities": "city", "wolves": "wolf", "sheep": "sheep", "children": "child"}
+    assert {w: stem.detect_plural(w) for w in plurals} == plurals
+
+
+def test_stemmers_against_sql():
+    """The stages in SQL, with suffix tables of their own, on words that reach every rule."""
+    duckdb = pytest.importorskip("duckdb")
+    bases = ["rate", "plot", "hop", "fall", "happ", "y", "yy", "syzyg", "toy", "agre", "oper", "relat", "sens", "b"]
+    ends = [s for t in (stem_sql.PORTER_2, stem_sql.STEP_3, stem_sql.SMART_5) for s, _ in t]
+    words = {b + e for b in bases for e in ["", "s", "ies", "ves", "oes", "sses", "eed", "ll", "logi", "e", *ends]}
+    words = sorted(words | set(lexicon.IRREGULAR_VERBS) | set(lexicon.IRREGULAR_PLURALS) | lexicon.NO_CHANGE)
+    words = [w for w in words if w.isascii() and w.isalpha()]
+    con = duckdb.connect()
+    listed = f"words AS (SELECT unnest({words!r}) AS term)"
+    porter = con.sql(f"WITH {listed}, {stem_sql.porter('words')} SELECT term, stem FROM porter").fetchall()
+    smart = stem_sql.smart("words", oracles.IRREGULAR, oracles.in_list(lexicon.NO_CHANGE))
+    smart = con.sql(f"WITH {listed}, {smart} SELECT term, stem FROM smart").fetchall()
+    assert dict(porter) == {w: stem.porter_stem(w) for w in words}
+    assert dict(smart) == {w: stem.smart_stem(w) for w in words}
+
+
+def test_word_tables_are_in_order():
+    for table in (lexicon.IRREGULAR_PLURALS, lexicon.IRREGULAR_VERBS, lexicon.CONTRACTIONS):
+        assert list(table) == sorted(table)
+
+
+def test_pattern_members_beyond_ascii(apply):
+    def bytewise(text, members):
+        found, run = [], b""
+        for x in [*(bytes([b]) for b in text.encode()), b""]:
+            if x and x in members.encode():
+                run += x
+            elif run:
+                found, run = [*found, run.decode("utf-8", "replace")], b""
+        return found
+
+    for pattern in ("[é]", "[éa]", "[èx]"):
+        for text in ("caféè naïve", "éé e", "日本é", ""):
+            assert apply(lambda c, p=pattern: tokenize.pattern_tokens(c, p), text) == bytewise(text, pattern[1:-1])
+    assert apply(lambda c: tokenize.pattern_tokens(c, "[É]", lower=True, min_length=3), "É ÉÉ") == ["éé"]
+
+
+def test_boundaries_by_byte(spark):
+    text = "é. Hi. x."
+    raw = text.encode()
+    table = spark.createDataFrame([(text, i) for i in range(-1, 12)], "t string, i int")
+    got = [r[0] for r in table.select(tokenize.is_sentence_boundary(F.col("t"), F.col("i"))).collect()]
+    assert got == [0 <= i < len(raw) and raw[i] in b".!?" and raw[i + 1 : i + 2] in (b"", b" ") for i in range(-1, 12)]
+
+
+def test_drained(spark):
+    row = spark.sql("SELECT array('a') AS t, 'ÉB' AS r, '' AS e")
+    assert row.select(tokenize.drained(F.col("t"), F.col("r"))).first()[0] == ["a", "éb"]
+    assert row.select(tokenize.drained(F.col("t"), F.col("r"), False, 4)).first()[0] == ["a"]
+    assert row.select(tokenize.drained(F.col("t"), F.col("e"), min_length=0)).first()[0] == ["a"]
+
+
+def test_emails_in_odd_and_long_texts(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("ab.@-% ", k=rng.randint(1, 30))) for _ in range(3000)] + ["a@b.c.@x.y", "a@..c", "@a.b"]
+    plain = re.compile("[A-Za-z0-9_.+%-]+@[A-Za-z0-9_.+%-]+[.][A-Za-z0-9_.+%-]*[A-Za-z0-9_+%-]")
+    table = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in table.select(normalize.replace_emails(F.col("t"))).collect()]
+    assert got == [plain.sub("<email>", t) for t in texts]
+    long = spark.createDataFrame([("a" * 1_000_000,), ("a@" + "." * 1_000_000,), ("a@b" * 300_000,)], "t string")
+    began = time.perf_counter()
+    assert long.select(F.length(normalize.replace_emails(F.col("t"))).alias("n")).agg(F.sum("n")).first()[0] == 2_900_002
+    assert time.perf_counter() - began < 20
