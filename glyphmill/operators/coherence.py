@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.operators import corpus
 from glyphmill.operators.topics import LdaModel
+from glyphmill.sources.scratch import materialise
 
 TINY = 1e-12
 FLOOR = -10.0
@@ -21,18 +22,30 @@ def sorted_pair(a: Column, b: Column) -> Column:
     return F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
+def held_candidates(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``doc_id, terms``: the candidates (column ``term``) of the documents that hold any, sorted."""
+    wanted = candidates.select("term").distinct()
+    met = docs.select("doc_id", F.explode(F.array_distinct(corpus.no_nulls(F.col("tokens")))).alias("term")).join(
+        wanted, "term", "left_semi"
+    )
+    return met.groupBy("doc_id").agg(F.sort_array(F.collect_list("term")).alias("terms"))
+
+
 def document_frequencies(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``term, df`` of the candidates (column ``term``)."""
-    return corpus.document_frequency(docs).join(candidates.select("term").distinct(), "term", "left_semi")
+    """``term, df`` of the candidates."""
+    return _frequencies(held_candidates(docs, candidates))
 
 
 def cooccurrence(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """``a, b, co`` with ``a < b``: documents that hold both of two candidates."""
-    wanted = candidates.select("term").distinct()
-    met = docs.select("doc_id", F.explode(F.array_distinct(corpus.no_nulls(F.col("tokens")))).alias("term")).join(
-        wanted, "term", "left_semi"
-    )
-    held = met.groupBy("doc_id").agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    return _cooccurrence(held_candidates(docs, candidates))
+
+
+def _frequencies(held: DataFrame) -> DataFrame:
+    return corpus.count_items(held.select(F.explode("terms").alias("term")), "term", "df")
+
+
+def _cooccurrence(held: DataFrame) -> DataFrame:
     pairs = F.flatten(
         F.transform(
             "terms",
@@ -75,9 +88,15 @@ def _scored_pairs(terms: DataFrame, dfs: DataFrame, cos: DataFrame) -> DataFrame
 
 
 def pair_scores(terms: DataFrame, docs: DataFrame) -> DataFrame:
-    """``topic, i, j, co, df_i, df_j, pmi, umass`` for ``terms (topic, rank, term)``."""
+    """``topic, i, j, co, df_i, df_j, pmi, umass`` for ``terms (topic, rank, term)``.
+
+    The terms and the documents' candidates are written once, so that the
+    texts are read once for both counts.
+    """
     size = F.broadcast(docs.agg(F.count(F.lit(1)).alias("num_docs")))  # one row
-    pairs = _scored_pairs(terms, document_frequencies(docs, terms), cooccurrence(docs, terms))
+    terms = materialise(terms, "topic-terms")
+    held = materialise(held_candidates(docs, terms), "topic-candidates")
+    pairs = _scored_pairs(terms, _frequencies(held), _cooccurrence(held))
     return pairs.join(size, F.lit(True)).select(
         "topic", "i", "j", "i_rank", "j_rank", "co", "df_i", "df_j",
         pmi(F.col("co"), F.col("df_i"), F.col("df_j"), F.col("num_docs")).alias("pmi"),
@@ -106,7 +125,7 @@ def normalize_unit(scores: DataFrame, value: str, by: list[str], name: str) -> D
 
 def top_terms_by_pmi(model: LdaModel, docs: DataFrame, n: int = 10, pool: int = 20, digits: int | None = None) -> DataFrame:
     """``topic, rank, term, p``: a pool of the best terms, ranked anew by half weight and half PMI."""
-    best = model.top_terms(max(n, pool), digits)
+    best = materialise(model.top_terms(max(n, pool), digits), "topic-pool")
     if n <= 0 or docs.isEmpty():
         return best.where(F.col("rank") <= n)
     scored = normalize_unit(mean_pmi(best, pair_scores(best, docs)), "mean_pmi", ["topic"], "unit")

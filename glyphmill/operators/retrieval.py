@@ -1,11 +1,14 @@
 """Ranked retrieval over postings: raw counts, TF-IDF and BM25.
 
-A model is a few relations: ``postings (doc_id, term, weight, ...)``, ``terms
-(term, df, ...)`` and, for cosine models, ``norms (doc_id, norm)``. A search
-joins the query's terms to the postings, so that documents without any of them
-are never touched, sums by document and ranks. A single query's terms are
-literals and reach the Parquet scan as an ``IN`` filter; a table of queries is
-joined by term, broadcast by Spark when it is small.
+``fit`` reads the texts once and writes the model's relations to the shared
+scratch folder: ``postings (doc_id, doc_len, max_tf, term, tf)``, each file in
+the order of its terms, ``terms (term, df, cf, idf)`` and, for cosine models,
+``norms (doc_id, norm)``. No posting is shuffled for that unless the terms
+outgrow a broadcast. A search joins the query's terms to the postings, so that
+documents without any of them are never touched, sums by document and ranks. A
+single query's terms are literals that reach the postings' Parquet scan as an
+``IN`` filter, which row groups and pages outside their range pass; a table of
+queries is joined by term, broadcast by Spark when it is small.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.operators import corpus
+from glyphmill.sources.scratch import materialise
 from glyphmill.sources.tables import load_relations, load_settings, save_relations, save_settings
 
 K1, B = 1.2, 0.75
@@ -88,14 +92,15 @@ class _Model:
         return type(self)(**own | {"postings": self.postings.where(F.col("term").isin(*terms))})
 
 
-def _cosine_scores(query: DataFrame, postings: DataFrame, norms: DataFrame) -> DataFrame:
-    """``query (qid, term, w)`` against ``postings (doc_id, term, weight)``."""
+def written_postings(docs: DataFrame) -> DataFrame:
+    """The postings of ``docs``, in a table whose files are sorted by term."""
+    return materialise(corpus.postings(docs).sortWithinPartitions("term"), "postings")
+
+
+def _cosine_scores(query: DataFrame, postings: DataFrame, weight: Column, norms: DataFrame) -> DataFrame:
+    """``query (qid, term, w, ...)`` against ``postings`` that weigh ``weight``."""
     q_norms = query.groupBy("qid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q_norm"))
-    dots = (
-        query.join(postings.select("doc_id", "term", "weight"), "term")
-        .groupBy("qid", "doc_id")
-        .agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    )
+    dots = query.join(postings, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("w") * weight).alias("dot"))
     return (
         dots.join(q_norms, "qid")
         .join(norms, "doc_id")
@@ -103,8 +108,8 @@ def _cosine_scores(query: DataFrame, postings: DataFrame, norms: DataFrame) -> D
     )
 
 
-def _norms(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+def _norms(postings: DataFrame, weight: Column) -> DataFrame:
+    return materialise(postings.groupBy("doc_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm")), "norms")
 
 
 @dataclass
@@ -119,12 +124,9 @@ class CountModel(_Model):
 
     @classmethod
     def fit(cls, docs: DataFrame) -> CountModel:
-        posted = corpus.postings(docs).withColumn("weight", F.col("tf").cast("double"))
-        squares = F.aggregate(
-            corpus.term_counts(F.col("tokens")), F.lit(0.0), lambda a, x: a + x["tf"] * x["tf"]
-        )
-        norms = docs.select("doc_id", F.sqrt(squares).alias("norm"))  # row by row, no shuffle
-        return cls(posted, corpus.term_stats(posted), norms, docs.count())
+        posted = written_postings(docs)
+        terms = materialise(corpus.term_stats(posted), "terms")
+        return cls(posted, terms, _norms(posted, F.col("tf").cast("double")), docs.count())
 
     def transform(self, docs: DataFrame) -> DataFrame:
         """``doc_id, term, weight``: counts of the terms that the model knows."""
@@ -137,7 +139,7 @@ class CountModel(_Model):
     def scores(self, queries: DataFrame) -> DataFrame:
         known = query_terms(queries).join(self.terms.select("term"), "term", "left_semi")
         query = known.select("qid", "term", F.col("qf").cast("double").alias("w"))
-        return _cosine_scores(query, self.postings, self.norms)
+        return _cosine_scores(query, self.postings, F.col("tf").cast("double"), self.norms)
 
 
 def augmented_weight(tf: Column, max_tf: Column, idf: Column) -> Column:
@@ -157,12 +159,11 @@ class TfidfModel(_Model):
     @classmethod
     def fit(cls, docs: DataFrame) -> TfidfModel:
         n = docs.count()
-        posted = corpus.postings(docs)
+        posted = written_postings(docs)
         terms = corpus.term_stats(posted).withColumn("idf", corpus.idf_smoothed(F.col("df"), F.lit(n)))
-        weighted = posted.join(terms.select("term", "idf"), "term").withColumn(
-            "weight", augmented_weight(F.col("tf"), F.col("max_tf"), F.col("idf"))
-        )
-        return cls(weighted, terms, _norms(weighted), n)
+        terms = materialise(terms, "terms")
+        weight = augmented_weight(F.col("tf"), F.col("max_tf"), F.col("idf"))
+        return cls(posted, terms, _norms(posted.join(terms.select("term", "idf"), "term"), weight), n)
 
     def _weighted(self, rows: DataFrame, tf: str, top: str) -> DataFrame:
         weight = augmented_weight(F.col(tf), F.col(top), F.col("idf"))
@@ -174,8 +175,9 @@ class TfidfModel(_Model):
         return rows.select("doc_id", "term", F.col("w").alias("weight"))
 
     def scores(self, queries: DataFrame) -> DataFrame:
-        query = self._weighted(query_terms(queries), "qf", "q_max").select("qid", "term", "w")
-        return _cosine_scores(query, self.postings, self.norms)
+        query = self._weighted(query_terms(queries), "qf", "q_max").select("qid", "term", "idf", "w")
+        weight = augmented_weight(F.col("tf"), F.col("max_tf"), F.col("idf"))
+        return _cosine_scores(query, self.postings, weight, self.norms)
 
 
 @dataclass
@@ -193,13 +195,14 @@ class Bm25Model(_Model):
     @classmethod
     def fit(cls, docs: DataFrame) -> Bm25Model:
         """Empty documents count in the number of documents and in the mean length."""
-        stats = corpus.corpus_stats(docs).first()
-        posted = corpus.postings(docs)
-        n = F.lit(float(stats.num_docs))
+        num_docs = docs.count()
+        posted = written_postings(docs)
+        n = F.lit(float(num_docs))
         d = F.least(F.col("df").cast("double"), n)
         with_it, without = d + HALF, n - d + HALF
-        terms = corpus.term_stats(posted).withColumn("idf", F.log1p(without / with_it))
-        return cls(posted, terms, stats.num_docs, stats.avg_len)
+        terms = materialise(corpus.term_stats(posted).withColumn("idf", F.log1p(without / with_it)), "terms")
+        tokens = terms.agg(F.coalesce(F.sum("cf"), F.lit(0))).first()[0]
+        return cls(posted, terms, num_docs, tokens / num_docs if num_docs else 0.0)
 
     def _settings(self) -> dict:
         return {"num_docs": self.num_docs, "avg_len": self.avg_len}
