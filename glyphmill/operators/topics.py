@@ -11,11 +11,14 @@ how the corpus is partitioned.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,36 +31,72 @@ ALPHA, BETA = 0.1, 0.01
 ASSIGNMENTS = "doc_id long, pos int, term string, topic int"
 
 
-def _draw(weights: np.ndarray, u: float) -> int:
-    total = weights.cumsum()
-    if total[-1] <= 0:
-        return min(int(u * len(weights)), len(weights) - 1)
-    return min(int(np.searchsorted(total, u * total[-1], side="right")), len(weights) - 1)
+def _draw(weights: list[float], u: float) -> int:
+    """The place that ``u`` in [0, 1) falls on. Plain lists: topics are few, and arrays of a few cost more."""
+    sums = list(accumulate(weights))
+    if sums[-1] <= 0:
+        return min(int(u * len(sums)), len(sums) - 1)
+    return min(bisect_right(sums, u * sums[-1]), len(sums) - 1)
 
 
 def gibbs(docs: list[np.ndarray], vocab: int, topics: int, sweeps: int, alpha: float, beta: float, seed: int) -> list[np.ndarray]:
     """Collapsed Gibbs sampling over term numbers; topics by token."""
     rng = np.random.default_rng(seed)
-    state = [rng.integers(0, topics, len(d)) for d in docs]
-    by_doc = np.zeros((len(docs), topics))
-    by_word = np.zeros((vocab, topics))
-    for d, (words, z) in enumerate(zip(docs, state, strict=True)):
-        np.add.at(by_doc[d], z, 1)
-        np.add.at(by_word, (words, z), 1)
-    sums = by_word.sum(axis=0)
+    words = [d.tolist() for d in docs]
+    state = [rng.integers(0, topics, len(d)).tolist() for d in docs]
+    by_doc = [[0] * topics for _ in docs]
+    by_word = [[0] * topics for _ in range(vocab)]
+    sums = [vocab * beta] * topics
+    for mine, own, z in zip(by_doc, words, state, strict=True):
+        for w, k in zip(own, z, strict=True):
+            mine[k] += 1
+            by_word[w][k] += 1
+            sums[k] += 1
     for _ in range(sweeps):
-        for d, (words, z) in enumerate(zip(docs, state, strict=True)):
-            mine = by_doc[d]
-            for i, u in enumerate(rng.random(len(words))):
-                w, k = words[i], z[i]
+        for mine, own, z in zip(by_doc, words, state, strict=True):
+            for i, u in enumerate(rng.random(len(own)).tolist()):
+                of_word, k = by_word[own[i]], z[i]
                 mine[k] -= 1
-                by_word[w, k] -= 1
+                of_word[k] -= 1
                 sums[k] -= 1
-                k = z[i] = _draw((mine + alpha) * (by_word[w] + beta) / (sums + vocab * beta), u)
+                k = z[i] = _draw([(m + alpha) * (w + beta) / s for m, w, s in zip(mine, of_word, sums, strict=True)], u)
                 mine[k] += 1
-                by_word[w, k] += 1
+                of_word[k] += 1
                 sums[k] += 1
-    return state
+    return [np.asarray(z, "int64") for z in state]
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by ``doc_id`` as a table for each document."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        ids = batch.column("doc_id").to_pylist()
+        cuts = [i for i in range(1, len(ids)) if ids[i] != ids[i - 1]]
+        for begin, end in zip([0, *cuts], [*cuts, len(ids)], strict=True):
+            if begin == end:
+                continue
+            if held and ids[begin] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = ids[begin]
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _in_batches(tables: Iterator[pa.Table], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Small tables put together to batches of about ``rows``."""
+    held: list[pa.Table] = []
+    size = 0
+    for table in tables:
+        held.append(table)
+        size += table.num_rows
+        if size >= rows:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.concat_tables(held).combine_chunks().to_batches()
 
 
 @dataclass
@@ -79,17 +118,15 @@ class LdaModel:
 
     def phi(self) -> DataFrame:
         """``topic, term, p`` for every topic and term of the vocabulary."""
-        counts = self.assignments.groupBy("term", "topic").agg(F.count(F.lit(1)).alias("n"))
-        sums = self.assignments.groupBy("topic").agg(F.count(F.lit(1)).alias("total"))
-        size = F.broadcast(self.vocabulary().agg(F.count(F.lit(1)).alias("v")))  # one row
-        # a term's counts by topic become an array of K entries: no cross join of terms and topics
-        per_term = counts.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("topic", "n"))).alias("m"))
-        every = F.transform(
-            F.sequence(F.lit(0), F.lit(self.num_topics - 1)),
-            lambda k: F.struct(k.alias("topic"), F.coalesce(F.try_element_at("m", k), F.lit(0)).alias("n")),
-        )
+        if not self.num_topics:
+            return self.assignments.select("topic", "term", F.lit(0.0).alias("p")).limit(0)
+        # a term's counts by topic are K columns of one aggregation: no cross join of terms and topics
+        by_topic = [F.count_if(F.col("topic") == k).alias(f"n{k}") for k in range(self.num_topics)]
+        per_term = materialise(self.assignments.groupBy("term").agg(*by_topic), "topic-counts")
+        size = F.broadcast(per_term.agg(F.count(F.lit(1)).alias("v")))  # one row
+        every = F.array(*[F.struct(F.lit(k).alias("topic"), F.col(f"n{k}").alias("n")) for k in range(self.num_topics)])
         dense = per_term.select("term", F.inline(every))
-        totals = F.broadcast(self.topic_numbers().join(sums, "topic", "left").fillna(0, ["total"]))  # K rows
+        totals = F.broadcast(dense.groupBy("topic").agg(F.sum("n").alias("total")))  # K rows
         p = (F.col("n") + self.beta) / (F.col("total") + F.col("v") * self.beta)
         return dense.join(totals, "topic").join(size, F.lit(True)).select("topic", "term", p.alias("p"))
 
@@ -186,32 +223,26 @@ def _exact(tokens: DataFrame, k: int, sweeps: int, alpha: float, beta: float, se
 def _sweep(k: int, vocab: int, alpha: float, beta: float, seed: int, sweep: int):
     """Tokens sorted by document, each with its term's counts and the topics' sums, to new topics."""
 
-    def sample(doc: pd.DataFrame) -> np.ndarray:
-        z = doc["topic"].to_numpy().copy()
-        words, sums = np.stack(doc["by_word"].to_numpy()).astype(float), np.asarray(doc["sums"].iloc[0], float)
-        mine = np.bincount(z, minlength=k).astype(float)
-        rng = np.random.default_rng([seed & 0xFFFFFFFF, sweep, int(doc["doc_id"].iloc[0]) & 0xFFFFFFFFFFFFFFFF])
-        for i, u in enumerate(rng.random(len(z))):
-            own = np.zeros(k)
-            own[z[i]] = 1
-            mine -= own
-            z[i] = _draw((mine + alpha) * (words[i] - own + beta) / (sums - own + vocab * beta), u)
+    def sample(doc: pa.Table) -> pa.Table:
+        z = doc.column("topic").to_pylist()
+        sums = [x + vocab * beta for x in doc.column("sums")[0].as_py()]
+        mine = [0] * k
+        for t in z:
+            mine[t] += 1
+        rng = np.random.default_rng([seed & 0xFFFFFFFF, sweep, doc.column("doc_id")[0].as_py() & 0xFFFFFFFFFFFFFFFF])
+        for i, (words, u) in enumerate(zip(doc.column("by_word").to_pylist(), rng.random(len(z)).tolist(), strict=True)):
+            own = z[i]
+            mine[own] -= 1
+            words[own] -= 1
+            sums[own] -= 1
+            weights = [(m + alpha) * (w + beta) / s for m, w, s in zip(mine, words, sums, strict=True)]
+            sums[own] += 1
+            z[i] = _draw(weights, u)
             mine[z[i]] += 1
-        return z
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left: pd.DataFrame | None = None
-        for frame in frames:
-            if left is not None:
-                frame = pd.concat([left, frame])
-            last = frame["doc_id"].iloc[-1] if len(frame) else None
-            left = frame[frame["doc_id"] == last]
-            for _, doc in frame[frame["doc_id"] != last].groupby("doc_id", sort=False):
-                yield doc.assign(topic=sample(doc))[["doc_id", "pos", "term", "topic"]]
-        if left is not None and len(left):
-            yield left.assign(topic=sample(left))[["doc_id", "pos", "term", "topic"]]
+        kept = doc.select(["doc_id", "pos", "term"])
+        return kept.append_column("topic", pa.array(z, pa.int32()))
 
-    return run
+    return lambda batches: _in_batches(map(sample, _documents(batches)))
 
 
 def _distributed(tokens: DataFrame, k: int, sweeps: int, alpha: float, beta: float, seed: int) -> DataFrame:
@@ -226,7 +257,7 @@ def _distributed(tokens: DataFrame, k: int, sweeps: int, alpha: float, beta: flo
         state = materialise(
             joined.repartition("doc_id")
             .sortWithinPartitions("doc_id", "pos")
-            .mapInPandas(_sweep(k, vocab, alpha, beta, seed, sweep), ASSIGNMENTS),
+            .mapInArrow(_sweep(k, vocab, alpha, beta, seed, sweep), ASSIGNMENTS),
             "lda",
         )
     return state
@@ -248,41 +279,30 @@ def fold_in(model: LdaModel, docs: DataFrame, iterations: int = 100, seed: int =
     phi = model.phi().groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("topic", "p"))), lambda x: x["p"]).alias("phi"))
     tokens = docs.select("doc_id", F.posexplode(corpus.no_nulls(F.col("tokens"))).alias("pos", "term"))
 
-    def sample(doc: pd.DataFrame) -> np.ndarray:
-        words = np.stack(doc["phi"].to_numpy()).astype(float)
-        rng = np.random.default_rng([base & 0xFFFFFFFF, int(doc["doc_id"].iloc[0]) & 0xFFFFFFFFFFFFFFFF])
-        z = rng.integers(0, k, len(words))
-        mine = np.bincount(z, minlength=k).astype(float)
+    def sample(doc: pa.Table) -> pa.Table:
+        words = doc.column("phi").to_pylist()
+        doc_id = doc.column("doc_id")[0].as_py()
+        rng = np.random.default_rng([base & 0xFFFFFFFF, doc_id & 0xFFFFFFFFFFFFFFFF])
+        z = rng.integers(0, k, len(words)).tolist()
+        mine = [0] * k
+        for t in z:
+            mine[t] += 1
         for _ in range(iterations):
-            for i, u in enumerate(rng.random(len(z))):
+            for i, u in enumerate(rng.random(len(z)).tolist()):
                 mine[z[i]] -= 1
-                z[i] = _draw((mine + alpha) * words[i], u)
+                z[i] = _draw([(m + alpha) * w for m, w in zip(mine, words[i], strict=True)], u)
                 mine[z[i]] += 1
-        return (mine + alpha) / (len(z) + k * alpha)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left: pd.DataFrame | None = None
-
-        def rows(doc: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(
-                {"doc_id": doc["doc_id"].iloc[0], "topic": np.arange(k, dtype="int32"), "p": sample(doc)}
-            )
-
-        for frame in frames:
-            if left is not None:
-                frame = pd.concat([left, frame])
-            last = frame["doc_id"].iloc[-1] if len(frame) else None
-            left = frame[frame["doc_id"] == last]
-            for _, doc in frame[frame["doc_id"] != last].groupby("doc_id", sort=False):
-                yield rows(doc)
-        if left is not None and len(left):
-            yield rows(left)
+        shares = [(m + alpha) / (len(z) + k * alpha) for m in mine]
+        return pa.table({"doc_id": pa.array([doc_id] * k, pa.int64()), "topic": pa.array(range(k), pa.int32()), "p": shares})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_batches(map(sample, _documents(batches)))
 
     sampled = (
         tokens.join(phi, "term")
         .repartition("doc_id")
         .sortWithinPartitions("doc_id", "pos")
-        .mapInPandas(run, "doc_id long, topic int, p double")
+        .mapInArrow(run, "doc_id long, topic int, p double")
     )
     every = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("topic"))
     return every.join(sampled, ["doc_id", "topic"], "left").withColumn("p", F.coalesce("p", F.lit(1.0 / k)))
