@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import distance, normalize, stem, stopwords, tokenize
 from glyphmill.operators import coherence, corpus, retrieval, similarity, topics, vectors
+from glyphmill.sources.scratch import scratch_path
 from glyphmill.sources.tables import read_table
+from glyphmill.streaming.text import running_term_counts, tokenized_stream, windowed_term_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -202,8 +204,9 @@ def _distance(name: str, pairs: Callable[[SparkSession, str], DataFrame], **meas
 
 _distance("levenshtein_pairs", names, distance=lambda a, b: distance.levenshtein(a, b).cast("long"))
 _distance("levenshtein_similarity", names, similarity=lambda a, b: rounded(distance.levenshtein_similarity(a, b)))
-_distance("jaro_pairs", nation_pairs, similarity=lambda a, b: rounded(distance.jaro(a, b)))
-_distance("jaro_winkler_pairs", nation_pairs, similarity=lambda a, b: rounded(distance.jaro_winkler(a, b)))
+_distance("jaro_pairs", names, similarity=lambda a, b: rounded(distance.jaro(a, b)))
+_distance("jaro_winkler_pairs", names, similarity=lambda a, b: rounded(distance.jaro_winkler(a, b)))
+_distance("jaro_nations", nation_pairs, similarity=lambda a, b: rounded(distance.jaro(a, b)))
 _distance("char_ngram_distance", names, distance=lambda a, b: rounded(distance.ngram_distance(a, b)))
 
 # --- counts and statistics
@@ -235,6 +238,13 @@ def _unique_terms(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.unique_terms(docs_of(spark, sf))
 
 
+@query("vocabulary_extended")
+def _vocabulary_extended(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents' vocabulary, numbered on with the benchmark's terms."""
+    more = _benchmark_queries(spark, sf).withColumnRenamed("qid", "doc_id")
+    return corpus.extend_vocabulary(corpus.vocabulary(docs_of(spark, sf)), more)
+
+
 @query("vocabulary_ids")
 def _vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.vocabulary(docs_of(spark, sf))
@@ -445,49 +455,91 @@ def _coherence_cv(spark: SparkSession, sf: str) -> DataFrame:
     return coherence.coherence_cv(model, model.docs, 10, digits=9).select(rounded(F.col("coherence")).alias("coherence"))
 
 
+def _fitted(spark: SparkSession, sf: str) -> topics.LdaModel:
+    """The exact sampler's model of the benchmark's items, with the default number of sweeps."""
+    return topics.fit_lda(_benchmark_queries(spark, sf).withColumnRenamed("qid", "doc_id"), TOPICS)
+
+
 @query("lda_fit")
 def _lda_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return topics.fit_lda(docs_of(spark, sf), TOPICS, iterations=2, mode="distributed").assignments
+    """What any fit must hold to: tokens and terms kept, shares that sum to one, a better fit than the start's."""
+    model = _fitted(spark, sf)
+    start = topics.LdaModel(model.docs, topics.deterministic_assignments(model.docs, TOPICS), TOPICS, model.alpha, model.beta, 1, 0)
+    before = start.perplexity().select(F.col("perplexity").alias("start"))
+    fitted = F.broadcast(model.perplexity().join(before, F.lit(True)).select((F.col("perplexity") < F.col("start")).alias("fitted")))
+    shares = model.theta().groupBy("doc_id").agg(rounded(F.sum("p")).alias("theta_sum"))
+    in_range = F.min((F.col("topic") >= 0) & (F.col("topic") < TOPICS)).alias("in_range")
+    tokens = model.assignments.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("tokens"), F.count_distinct("term").alias("terms"), in_range
+    )
+    return shares.join(tokens, "doc_id").join(fitted, F.lit(True))
+
+
+@query("lda_sweeps")
+def _lda_sweeps(spark: SparkSession, sf: str) -> DataFrame:
+    """Two sweeps of the distributed sampler over the documents: a topic for every token."""
+    state = topics.fit_lda(docs_of(spark, sf), TOPICS, iterations=2, mode="distributed").assignments
+    return state.where(F.col("topic").between(0, TOPICS - 1)).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 @query("lda_fold_in")
 def _lda_fold_in(spark: SparkSession, sf: str) -> DataFrame:
-    model = topics.fit_lda(docs_of(spark, sf), TOPICS, iterations=1, mode="distributed")
-    return topics.fold_in(model, _benchmark_queries(spark, sf).withColumnRenamed("qid", "doc_id"), iterations=5)
+    """Shares of each turn, with the default number of sweeps, and whether they lie where its known tokens allow."""
+    model = _fitted(spark, sf)
+    turns = read_table(spark, sf, "conversations")
+    docs = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), tokenize.word_tokens(F.col("text")).alias("tokens"))
+    known = docs.select("doc_id", F.explode("tokens").alias("term")).join(model.vocabulary(), "term")
+    n = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    shares = topics.fold_in(model, docs).join(n, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    low = model.alpha / (F.col("n") + TOPICS * model.alpha)
+    high = (F.col("n") + model.alpha) / (F.col("n") + TOPICS * model.alpha)
+    fits = F.min((F.col("p") >= low - 1e-9) & (F.col("p") <= high + 1e-9))
+    return shares.groupBy("doc_id").agg(
+        F.max("n").alias("known_tokens"), F.count(F.lit(1)).alias("topics"), rounded(F.sum("p")).alias("theta_sum"), fits.alias("fits")
+    )
 
 
 # --- streaming
 
 
-@query("stream_term_counts")
-def _stream_term_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Running counts of the document stream, drained into a table."""
-    import uuid
+def _table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a file stream; the glob stands for a single file and a folder alike."""
+    return spark.readStream.schema(read_table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
-    from glyphmill.sources.scratch import materialise, scratch_path
-    from glyphmill.streaming.text import running_term_counts, tokenized_stream
 
-    source = read_table(spark, sf, "documents")
-    stream = spark.readStream.schema(source.schema).parquet(_folder(spark, sf))
-    counts = running_term_counts(tokenized_stream(stream, "text", tokenize.word_tokens).select("tokens"))
-    name = f"stream_{uuid.uuid4().hex}"
-    at = scratch_path(spark, name)
+def _drained(stream: DataFrame, mode: str) -> DataFrame:
+    """All that a stream gives for the files of now: the last state in complete mode, else every batch."""
+    at = scratch_path(stream.sparkSession, "stream")
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/table")
+    def keep(batch: DataFrame, number: int) -> None:
+        # a batch that is run again replaces what it wrote
+        path = f"{at}/table" if mode == "complete" else f"{at}/table/batch={number}"
+        batch.write.mode("overwrite").parquet(path)
 
     run = (
-        counts.writeStream.outputMode("complete")
+        stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{at}/state")
         .trigger(availableNow=True)
         .foreachBatch(keep)
         .start()
     )
     run.awaitTermination()
-    return materialise(spark.read.parquet(f"{at}/table"), name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/table")
 
 
-def _folder(spark: SparkSession, sf: str) -> str:
-    """A glob that a file stream takes, for a table of one file or a folder."""
-    return f"{sf}/documents.parque[t]"
+@query("stream_term_counts")
+def _stream_term_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Running counts of the document stream, drained into a table."""
+    stream = tokenized_stream(_table_stream(spark, sf, "documents"), "text", tokenize.word_tokens)
+    return _drained(running_term_counts(stream.select("tokens")), "complete")
+
+
+@query("stream_windowed_counts")
+def _stream_windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Event types by the hour, of the hours that the watermark has closed."""
+    events = _table_stream(spark, sf, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), F.array("event_type").alias("tokens")
+    )
+    counts = _drained(windowed_term_counts(events, "ts", "10 minutes", "1 hour"), "append")
+    return counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "term", "cf")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from glyphmill.functions import lexicon, normalize
 from glyphmill.functions.stopwords import STOPWORDS
+from glyphmill.plans import stem_sql
 from glyphmill.plans.catalogue import DIGITS, HASH_DIM, OWN_STOPWORDS, SEARCH, TOPICS
 
 WS = r"[ \t\n\x0B\f\r]"
@@ -154,6 +155,27 @@ _STEPS = replaced(_STEPS, URL, "<url>")
 _STEPS = f"translate({accents(f'lower({_STEPS})')}, {_PUNCT})"
 _STEPS = f"trim({replaced(replaced(_STEPS, '[0-9]+', ''), f'{WS}+', ' ')})"
 
+JARO = (
+    # one character of a at a time: chr(1) marks the characters of b that are taken
+    "pair AS (SELECT DISTINCT a, b FROM parts), "
+    "walk AS (SELECT a, b, 0 AS i, b AS free, '' AS met, greatest(greatest(length(a), length(b)) // 2 - 1, 0) AS reach FROM pair "
+    "UNION ALL SELECT a, b, i + 1, "
+    "CASE WHEN spot > 0 THEN substr(free, 1, low + spot - 2) || chr(1) || substr(free, low + spot) ELSE free END, "
+    "CASE WHEN spot > 0 THEN met || x ELSE met END, reach "
+    "FROM (SELECT *, strpos(substr(free, low, i + reach + 2 - low), x) AS spot FROM "
+    "(SELECT *, greatest(1, i + 1 - reach) AS low, substr(a, i + 1, 1) AS x FROM walk WHERE i < length(a)))), "
+    "ended AS (SELECT a, b, met, [substr(b, k, 1) for k in range(1, length(b) + 1) if substr(free, k, 1) = chr(1)] AS other FROM walk WHERE i = length(a)), "
+    "counted AS (SELECT a, b, length(met)::DOUBLE AS m, len([k for k in range(1, length(met) + 1) if substr(met, k, 1) <> other[k]]) / 2.0 AS odd FROM ended), "
+    "jaro AS (SELECT a, b, CASE WHEN length(a) = 0 OR length(b) = 0 THEN (a = b)::INT::DOUBLE WHEN m = 0 THEN 0.0 "
+    "ELSE (m / length(a) + m / length(b) + (m - odd) / m) / 3.0 END AS jaro FROM counted)"
+)
+TERMS = f"terms AS (SELECT DISTINCT unnest({words('text')}) AS term FROM documents)"
+IRREGULAR = ", ".join(
+    f"({quoted(k)}, {quoted(v)})" for k, v in (lexicon.IRREGULAR_VERBS | lexicon.IRREGULAR_PLURALS).items()
+)
+SMART = stem_sql.smart("terms", IRREGULAR, in_list(lexicon.NO_CHANGE))
+SHARED = " + ".join(f"(substr(a, 1, {n}) = substr(b, 1, {n}) AND length(a) >= {n} AND length(b) >= {n})::INT" for n in range(1, 5))
+
 SQL: dict[str, str] = {
     "normalize_lower": out("lower(text)"),
     "normalize_accents": out(accents("text")),
@@ -204,9 +226,22 @@ SQL: dict[str, str] = {
         f"lambda x: lower(x) NOT IN {in_list(OWN_STOPWORDS)}), '|'), '') AS out FROM documents"
     ),
     "irregular_lookup": (
-        "WITH b AS (SELECT * FROM (VALUES "
-        + ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in (lexicon.IRREGULAR_VERBS | lexicon.IRREGULAR_PLURALS).items())
-        + f") AS v(form, base)) SELECT term, base IS NOT NULL AS found, coalesce(base, term) AS base FROM (SELECT DISTINCT unnest({words('text')}) AS term FROM documents) LEFT JOIN b ON form = term"
+        f"WITH b AS (SELECT * FROM (VALUES {IRREGULAR}"
+        f") AS v(form, base)) SELECT term, base IS NOT NULL AS found, coalesce(base, term) AS base FROM (SELECT DISTINCT unnest({words('text')}) AS term FROM documents) LEFT JOIN b ON form = term"
+    ),
+    "porter_stem": f"WITH {TERMS}, {stem_sql.porter('terms')} SELECT term, stem FROM porter",
+    "smart_stem": f"WITH {TERMS}, {SMART} SELECT term, stem FROM smart",
+    "stemmed_postings": (
+        f"WITH {TF}, {TERMS}, {SMART} SELECT doc_id, stem, sum(tf)::BIGINT AS tf FROM tf JOIN smart USING (term) GROUP BY ALL"
+    ),
+    "jaro_pairs": f"WITH RECURSIVE {PARTS}, {JARO} SELECT a, b, round(jaro, {DIGITS}) AS similarity FROM parts JOIN jaro USING (a, b)",
+    "jaro_winkler_pairs": (
+        f"WITH RECURSIVE {PARTS}, {JARO} SELECT a, b, round(jaro + ({SHARED}) * 0.1 * (1 - jaro), {DIGITS}) AS similarity "
+        "FROM parts JOIN jaro USING (a, b)"
+    ),
+    "jaro_nations": (
+        "WITH RECURSIVE parts AS (SELECT x.n_name AS a, y.n_name AS b FROM nation x JOIN nation y USING (n_regionkey)), "
+        f"{JARO} SELECT a, b, round(jaro, {DIGITS}) AS similarity FROM parts JOIN jaro USING (a, b)"
     ),
     "levenshtein_pairs": f"WITH {PARTS} SELECT a, b, levenshtein(a, b)::BIGINT AS distance FROM parts",
     "levenshtein_similarity": f"WITH {PARTS} SELECT a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), {DIGITS}) AS similarity FROM parts",
@@ -224,6 +259,12 @@ SQL: dict[str, str] = {
         "f AS (SELECT term, min(struct_pack(d := doc_id, p := pos)) AS place FROM s GROUP BY term) "
         "SELECT term, row_number() OVER (ORDER BY place) - 1 AS term_id FROM f"
     ),
+    "vocabulary_extended": (
+        f"WITH {DOCS}, s AS (SELECT 0 AS part, doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM docs "
+        f"UNION ALL SELECT 1, item_id, unnest(w), unnest(range(len(w))) FROM (SELECT item_id, {words('text')} AS w FROM benchmark)), "
+        "f AS (SELECT term, min(struct_pack(t := part, d := doc_id, p := pos)) AS place FROM s GROUP BY term) "
+        "SELECT term, row_number() OVER (ORDER BY place) - 1 AS term_id FROM f"
+    ),
     "text_stats": (
         f"WITH {TF}, s AS (SELECT doc_id, sum(tf) AS n, count(*) AS u, sum(tf * strlen(term)) AS b, sum((tf = 1)::INT) AS h FROM tf GROUP BY doc_id), "
         "top AS (SELECT doc_id, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS r FROM tf) WHERE r = 1) "
@@ -310,5 +351,21 @@ SQL: dict[str, str] = {
     ),
     "coherence_umass": f"WITH {PHI}, {best(10)}, {PAIR_SCORES} SELECT round(avg(umass), {DIGITS}) AS coherence FROM pairs",
     "coherence_cv": f"WITH {PHI}, {best(10)}, {PAIR_SCORES} SELECT round(avg(x), {DIGITS}) AS coherence FROM (SELECT avg(pmi) AS x FROM pairs GROUP BY topic)",
+    "lda_fit": (
+        f"SELECT item_id AS doc_id, 1.0::DOUBLE AS theta_sum, len(w)::BIGINT AS tokens, len(list_distinct(w))::BIGINT AS terms, "
+        f"true AS in_range, true AS fitted FROM (SELECT item_id, {words('text')} AS w FROM benchmark) WHERE len(w) > 0"
+    ),
+    "lda_sweeps": f"WITH {TF} SELECT doc_id, term, tf FROM tf",
+    "lda_fold_in": (
+        f"WITH v AS (SELECT DISTINCT unnest({words('text')}) AS term FROM benchmark), "
+        f"t AS (SELECT conv_id * 1000 + turn AS doc_id, unnest({words('text')}) AS term FROM conversations), "
+        "n AS (SELECT doc_id, count(*) AS n FROM t JOIN v USING (term) GROUP BY doc_id) "
+        f"SELECT conv_id * 1000 + turn AS doc_id, coalesce(n, 0)::BIGINT AS known_tokens, {TOPICS}::BIGINT AS topics, "
+        "1.0::DOUBLE AS theta_sum, true AS fits FROM conversations LEFT JOIN n ON n.doc_id = conv_id * 1000 + turn"
+    ),
+    "stream_windowed_counts": (
+        "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type AS term, count(*) AS cf FROM events "
+        "GROUP BY ALL HAVING (any_value(epoch_us(ts)) // 3600000000 + 1) * 3600000 <= (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM events)"
+    ),
     "stream_term_counts": f"WITH {TF} SELECT term, sum(tf)::BIGINT AS cf, count(*) AS df FROM tf GROUP BY term",
 }

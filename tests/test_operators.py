@@ -1,8 +1,11 @@
 import math
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from glyphmill.functions import tokenize
 from glyphmill.operators import coherence, corpus, retrieval, similarity, topics, vectors
 
 
@@ -168,3 +171,78 @@ def test_coherence(spark, corpus_of):
     assert mean == pytest.approx((math.log(1.5) + 2 * math.log(0.75)) / 3)
     unit = coherence.normalize_unit(spark.createDataFrame([(1.0,), (1.0,)], "x double"), "x", [], "u")
     assert [r.u for r in unit.collect()] == [0.5, 0.5]
+
+
+def document_scans(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("FileScan"), plan
+
+
+def test_search_reads_its_model_only(spark, tmp_path):
+    texts = [(i, f"{'the ' * (i % 3)}w{i % 7} w{i % 5} x") for i in range(200)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "texts"))
+    docs = spark.read.parquet(str(tmp_path / "texts")).select("doc_id", tokenize.word_tokens(F.col("text")).alias("tokens"))
+    for kind in (retrieval.CountModel, retrieval.TfidfModel, retrieval.Bm25Model):
+        model = kind.fit(docs)
+        hits = model.search(["w1", "the"], 5)
+        scans, plan = document_scans(hits)
+        assert str(tmp_path) not in plan and scans <= 4
+        assert re.search(r"PushedFilters: \[[^\]]*In\(term, \[the,w1\]", plan), kind
+        model.save(str(tmp_path / kind.__name__))
+        again = kind.load(spark, str(tmp_path / kind.__name__)).search(["w1", "the"], 5)
+        assert again.collect() == hits.collect() and hits.count() == 5
+
+
+def test_coherence_reads_texts_once(spark, tmp_path):
+    texts = [(i, f"a{i % 3} b{i % 4} c{i % 5} d") for i in range(60)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "texts"))
+    docs = spark.read.parquet(str(tmp_path / "texts")).select("doc_id", tokenize.word_tokens(F.col("text")).alias("tokens"))
+    model = topics.LdaModel(docs, topics.deterministic_assignments(docs, 2), 2, 0.1, 0.01, 1, 0)
+    scored = coherence.coherence_cv(model, docs, 4)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("tmp_path") == 0 and plan.count(str(tmp_path)) <= 1  # the number of documents
+    assert scored.count() == 1
+
+
+def test_vocabulary_grows_and_is_looked_up(corpus_of, spark):
+    vocab = corpus.vocabulary(corpus_of(["b", "a"], ["c"]))
+    more = corpus.extend_vocabulary(vocab, corpus_of(["d", "a"], [], ["e", "d"]))
+    assert rows(more, "term_id", "term") == [(0, "b"), (1, "a"), (2, "c"), (3, "d"), (4, "e")]
+    assert rows(corpus.extend_vocabulary(vocab.limit(0), corpus_of(["z"])), "term_id", "term") == [(0, "z")]
+    ids = spark.createDataFrame([(1,), (9,)], "term_id long")
+    assert rows(corpus.lookup_terms(ids, more), "term_id", "term") == [(1, "a"), (9, "")]
+    assert rows(corpus.contains_ids(ids, more), "term_id", "known") == [(1, True), (9, False)]
+    terms = spark.createDataFrame([("e",), ("f",)], "term string")
+    assert rows(corpus.contains_terms(terms, more), "term", "known") == [("e", True), ("f", False)]
+
+
+def test_vocabulary_in_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "BLOCK", 2)
+    docs = spark.createDataFrame([(1024 * i, [f"t{i}", f"u{i}", "t0"]) for i in range(9)], "doc_id long, tokens array<string>")
+    got = dict(rows(corpus.vocabulary(docs), "term", "term_id"))
+    assert got == {t: i for i, t in enumerate(["t0", "u0", *(f"{x}{i}" for i in range(1, 9) for x in "tu")])}
+
+
+def test_hashed_row_of_many_tokens(spark):
+    table = spark.createDataFrame([(0, [f"t{i % 9000}" for i in range(60_000)])], "doc_id long, tokens array<string>")
+    sums = vectors.HashingVectorizer(4096)
+    began = time.perf_counter()
+    by_row = table.select(sums.transform(F.col("tokens")).alias("v")).first().v
+    assert time.perf_counter() - began < 20
+    assert by_row == {r.bucket: r.value for r in sums.entries(table).collect()}
+    plus = vectors.HashingVectorizer(7, signed=False)
+    assert sum(table.select(plus.transform(F.col("tokens")).alias("v")).first().v.values()) == 60_000
+
+
+def test_topics_separate(corpus_of):
+    pets, code = ["cat", "dog", "fish", "bird"], ["loop", "class", "type", "list"]
+    docs = corpus_of(*[(pets if i % 2 else code) * 5 for i in range(12)])
+    for mode, sweeps in (("exact", 60), ("distributed", 25)):
+        model = topics.fit_lda(docs, 2, sweeps, seed=3, mode=mode)
+        shares = {(r.doc_id, r.topic): r.p for r in model.theta().collect()}
+        first = [max((0, 1), key=lambda k: shares[d, k]) for d in range(12)]
+        assert first[:2] * 6 == first and first[0] != first[1], mode
+        assert all(shares[d, first[d]] > 0.9 for d in range(12))
+        folded = topics.fold_in(model, corpus_of(["cat", "bird", "zzz"], ["loop"] * 4, ["zzz"]), 40)
+        p = {(r.doc_id, r.topic): r.p for r in folded.collect()}
+        assert p[0, first[1]] > 0.9 and p[1, first[0]] > 0.9 and p[2, 0] == p[2, 1] == 0.5
