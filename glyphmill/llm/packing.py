@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from glyphmill.llm._tables import materialise, running_offsets
 
 WINDOW = 4096
-MEMO = 250_000
+MEMO = 500_000
 PART_BROADCAST = 1 << 20
 PLAIN_END = 0x180
 PLAIN_LAST = chr(PLAIN_END)
