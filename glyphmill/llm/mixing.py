@@ -29,6 +29,8 @@ from glyphmill.llm._tables import boxed, lookup, materialise, unboxed
 
 NONE = "(none)"
 SLICES_BITS = 10
+BUCKETS_AN_OCTAVE = 1024
+SLACK = 1e-9
 LEVELS = ["domain", "lang", "source"]
 
 
@@ -63,28 +65,60 @@ def domain_of(source: Column) -> Column:
 def _share_out(children: DataFrame, parents: list[str], label: str, mix: Mix) -> DataFrame:
     """``children`` with ``cap`` and the parent's ``budget``, to their own ``budget``.
 
-    Children that cannot take their share come first in the order of
-    ``cap / weight``; the rest share what those leave.
+    In the order of ``cap / weight`` children are full while that ratio is at
+    most what is left for each unit of weight; from the first that is over it,
+    they share the rest. Up to there the rest for a unit only grows, so whole
+    buckets of ratios are judged by their extremes, at most some 65,000 for a
+    parent, and only the buckets between that may hold the first one are
+    searched ratio by ratio. No task orders all children of a parent.
     """
     w = mix.weight(label, F.col(label)).cast("decimal(18,0)")
-    rows = children.withColumn("_w", w).withColumn("_c", F.col("cap").cast("decimal(19,0)"))
-    order = Window.partitionBy(*parents).orderBy((F.col("cap") / F.col("_w")).asc(), F.col(label).asc())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = rows.withColumns(
+    rows = children.withColumns({"_w": w, "_c": F.col("cap").cast("decimal(19,0)")})
+    rows = rows.withColumn("_x", F.col("cap") / F.col("_w").cast("double"))
+    sums = [F.sum("_c").cast("decimal(19,0)").alias("_c"), F.sum("_w").cast("decimal(19,0)").alias("_w")]
+    ratios = rows.groupBy(*parents, "budget", "_x").agg(*sums)
+    ratios = ratios.withColumn("_bucket", F.floor(F.log2(F.col("_x") + 1) * BUCKETS_AN_OCTAVE))
+    buckets = ratios.groupBy(*parents, "budget", "_bucket").agg(*sums, F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+
+    def before(name: str, order: str) -> Column:
+        w = Window.partitionBy(*parents).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(name).over(w), F.lit(0).cast("decimal(29,0)"))
+
+    whole = Window.partitionBy(*parents)
+    buckets = buckets.withColumns(
         {
-            "_r": (F.col("budget") - F.coalesce(F.sum("_c").over(before), F.lit(0))).cast("decimal(19,0)"),
-            "_sum": F.sum("_w").over(onward).cast("decimal(19,0)"),
-            "_at": F.row_number().over(order),
+            "_r": (F.col("budget") - before("_c", "_bucket")).cast("decimal(19,0)"),
+            "_sum": (F.sum("_w").over(whole) - before("_w", "_bucket")).cast("decimal(19,0)"),
         }
     )
-    open_ = F.when(F.col("_c") * F.col("_sum") > F.col("_r") * F.col("_w"), F.struct("_at", "_r", "_sum"))
-    rows = rows.withColumn("_open", F.min(open_).over(Window.partitionBy(*parents)))
+    unit = F.col("_r").cast("double") / F.col("_sum").cast("double")
+    may = F.when(F.col("_high") * (1 + SLACK) >= unit, F.col("_bucket"))
+    must = F.when(F.col("_low") > F.greatest(unit, F.lit(0.0)) * (1 + SLACK), F.col("_bucket"))
+    searched = buckets.withColumns({"_first": F.min(may).over(whole), "_last": F.min(must).over(whole)})
+    searched = searched.where(F.col("_bucket") == F.col("_first")).select(*parents, "_first", "_last", "_r", "_sum")
+    inner = _joined(ratios, searched.withColumnsRenamed({"_r": "_r0", "_sum": "_sum0"}), parents).where(
+        F.col("_bucket").between(F.col("_first"), F.coalesce("_last", "_bucket"))
+    )
+    inner = inner.withColumns(
+        {
+            "_r": (F.col("_r0") - before("_c", "_x")).cast("decimal(19,0)"),
+            "_sum": (F.col("_sum0") - before("_w", "_x")).cast("decimal(19,0)"),
+        }
+    )
+    over = F.col("_c") * F.col("_sum") > F.col("_r") * F.col("_w")
+    opened = inner.where(over).groupBy(*parents).agg(F.min(F.struct("_x", "_r", "_sum")).alias("_open"))
     part = F.expr("(_open._r * _w) div _open._sum").cast("long")
-    own = F.when(F.col("_open").isNull() | (F.col("_at") < F.col("_open._at")), F.col("cap")).otherwise(
+    own = F.when(F.col("_open").isNull() | (F.col("_x") < F.col("_open._x")), F.col("cap")).otherwise(
         F.least(F.col("cap"), part)
     )
-    return rows.select(*parents, label, "cap", own.alias("budget"))
+    return _joined(rows, opened, parents).select(*parents, label, "cap", own.alias("budget"))
+
+
+def _joined(rows: DataFrame, by_parent: DataFrame, parents: list[str]) -> DataFrame:
+    """``rows`` with the columns of their parent's row, if there is one; without parents that is at most one."""
+    if parents:
+        return rows.join(by_parent, parents, "left")
+    return rows.join(F.broadcast(by_parent), F.lit(True), "left")
 
 
 def leaf_budgets(leaves: DataFrame, total: int, mix: Mix) -> DataFrame:

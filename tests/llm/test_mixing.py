@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 from fractions import Fraction
 
@@ -94,3 +95,17 @@ def test_mixed_keeps_columns(docs):
     out = mixing.mixed(docs, Mix(share=1.4, max_epochs=2))
     assert out.columns == docs.columns
     assert out.count() >= mixing.draw(docs, Mix(share=1.4, max_epochs=2)).count()
+
+
+def test_many_sources_of_one_parent(spark):
+    rng = random.Random(6)
+    for case in range(2):
+        sizes = [rng.choice([0, 1, 7, 100, 10**12]) + rng.randint(0, 3) * case + rng.randint(0, 40) for _ in range(600)]
+        rows = [("a", "x", f"s{i}", n) for i, n in enumerate(sizes)] + [("a", "y", "t", 50), ("b", "x", "u", 10**9)]
+        leaves = spark.createDataFrame(rows, "domain string, lang string, source string, tokens long")
+        mix = Mix(domain={"a": 3}, lang={}, source={f"s{i}": i % 4 + 1 for i in range(0, 600, 5)}, max_epochs=2)
+        for share in (0.001, 0.9, 1.5):
+            total = int(sum(r[3] for r in rows) * share)
+            expected = brute_budgets({r[:3]: r[3] for r in rows}, total, mix)
+            got = {(r.domain, r.lang, r.source): r.budget for r in mixing.leaf_budgets(leaves, total, mix).collect()}
+            assert got == expected, (case, share)
