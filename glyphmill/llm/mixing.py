@@ -7,8 +7,9 @@ take reaches the level above. Within a leaf each epoch has its own seeded
 order; whole epochs are taken while the budget lasts, then, if tokens are left,
 the longest prefix that fits of the next one.
 
-Prefix sums run in two steps, over 1024 slices of the order's hash per leaf and
-then inside a slice, so a leaf with a third of all rows still spreads out.
+Prefix sums run in two steps, over slices of the order's hash, about one for
+``SLICE_ROWS`` documents of a leaf, and then inside a slice, so a leaf with a
+third of all rows still spreads out.
 
 Defined results: null labels form the label ``(none)``; null and empty texts
 have no tokens and come along where the prefix reaches them; rows that share
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from glyphmill.llm._tables import boxed, lookup, materialise, unboxed
 
 NONE = "(none)"
-SLICES_BITS = 10
+SLICE_ROWS = 16_384
+MAX_BITS = 24
 BUCKETS_AN_OCTAVE = 1024
 SLACK = 1e-9
 LEVELS = ["domain", "lang", "source"]
@@ -168,11 +170,11 @@ def draw(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         F.expr("if(tokens > 0 AND budget % tokens > 0, budget % tokens, -1)").alias("rest"),
     )
     plan = materialise(plan, "mix-plan")
-    rows = lookup(units.withColumn("leaf", leaf), plan, "leaf", ["whole", "rest"], "n", n)
+    rows = lookup(units.withColumn("leaf", leaf), plan, "leaf", ["whole", "rest", "n"], "n", n)
     key = F.xxhash64(F.lit(mix.seed), F.col("whole"), F.col("doc_id"))
-    rows = rows.withColumn("key", F.shiftrightunsigned(key, 1)).withColumn(
-        "slice", F.shiftright("key", 63 - SLICES_BITS).cast("int")
-    )
+    bits = F.greatest(F.lit(0), F.least(F.lit(MAX_BITS), F.ceil(F.log2(F.col("n") / SLICE_ROWS)))).cast("int")
+    rows = rows.withColumns({"key": F.shiftrightunsigned(key, 1), "bits": bits})
+    rows = rows.withColumn("slice", F.expr("shiftright(key, 63 - bits)").cast("int")).drop("bits", "n")
     rows = materialise(rows, "mix-rows")
     sums = rows.groupBy("leaf", "slice").agg(F.sum("n_tokens").alias("s"))
     ahead = Window.partitionBy("leaf").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -83,6 +83,12 @@ def test_against_brute_force(docs, none):
     assert mixing.query(none).count() == 0
 
 
+def test_any_number_of_slices(docs, monkeypatch):
+    for rows in (1, 5):
+        monkeypatch.setattr(mixing, "SLICE_ROWS", rows)
+        check(docs, Mix(share=0.7))
+
+
 def test_shortage_goes_to_siblings_first(spark):
     rows = [("a", "x", "1", 10), ("a", "x", "2", 1000), ("a", "y", "3", 1000), ("b", "x", "4", 1000)]
     leaves = spark.createDataFrame(rows, "domain string, lang string, source string, tokens long")
