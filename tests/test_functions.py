@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import distance, lexicon, normalize, stem, stopwords, tokenize
 from glyphmill.plans import oracles, stem_sql
+from glyphmill.streaming.text import tokenized_stream
 
 TEXT = [
     (normalize.lowercase, "HeLLo ÉCOLE", "hello école"),
@@ -225,3 +226,15 @@ def test_emails_in_odd_and_long_texts(spark):
     began = time.perf_counter()
     assert long.select(F.length(normalize.replace_emails(F.col("t"))).alias("n")).agg(F.sum("n")).first()[0] == 2_900_002
     assert time.perf_counter() - began < 20
+
+
+def test_any_function_of_a_column_is_a_tokenizer(spark):
+    """The protocol: a column of text to a column of tokens, in projections and in streams alike."""
+    def commas(c):
+        return F.split(c, ",")
+
+    for tokenizer in (commas, tokenize.word_tokens, lambda c: tokenize.char_ngrams(c, 2), tokenize.sentences):
+        rows = spark.createDataFrame([("a,bc",), (None,)], "text string")
+        got = tokenized_stream(rows, "text", tokenizer, normalize.lowercase)
+        assert got.columns == ["text", "tokens"] and got.schema["tokens"].dataType.simpleString() == "array<string>"
+        assert got.first().tokens and got.where("text IS NULL").first().tokens is None
