@@ -67,8 +67,8 @@ class DigestIndex:
         if not fs.exists(at):
             return 0, None
         # a version counts once its settings are written to the end
-        found = [int(s.getPath().getName()) for s in fs.listStatus(at)]
-        for version in sorted(found, reverse=True):
+        names = [s.getPath().getName() for s in fs.listStatus(at)]
+        for version in sorted((int(n) for n in names if n.isdigit()), reverse=True):
             marker = file_system(self.spark, f"{self.path}/manifest/{version}/settings/_SUCCESS")[1]
             if fs.exists(marker):
                 return version, load_settings(self.spark, f"{self.path}/manifest/{version}")

@@ -17,12 +17,11 @@ input, whatever their names, are ignored by verdicts and kept by ``passing``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm._tables import boxed, lookup, materialise, unboxed
+from glyphmill.operators.corpus import let
 
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -34,11 +33,6 @@ HOSTS = 100_000
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` with ``value`` computed once a row, though ``body`` names it in a lambda."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANKS), "")
 
