@@ -7,9 +7,10 @@ take reaches the level above. Within a leaf each epoch has its own seeded
 order; whole epochs are taken while the budget lasts, then, if tokens are left,
 the longest prefix that fits of the next one.
 
-Prefix sums run in two steps, over slices of the order's hash, about one for
-``SLICE_ROWS`` documents of a leaf, and then inside a slice, so a leaf with a
-third of all rows still spreads out.
+Prefix sums run in two steps, over slices of the order's hash and then inside
+a slice. A leaf of n documents has some 4 to 8 times the root of n slices, so
+that one with a third of all rows still spreads out, and neither its slices nor
+the documents of one are many.
 
 Defined results: null labels form the label ``(none)``; null and empty texts
 have no tokens and come along where the prefix reaches them; rows that share
@@ -29,8 +30,7 @@ from pyspark.sql import functions as F
 from glyphmill.llm._tables import boxed, lookup, materialise, unboxed
 
 NONE = "(none)"
-SLICE_ROWS = 16_384
-MAX_BITS = 24
+MORE_BITS = 2
 BUCKETS_AN_OCTAVE = 1024
 SLACK = 1e-9
 LEVELS = ["domain", "lang", "source"]
@@ -172,7 +172,7 @@ def draw(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     plan = materialise(plan, "mix-plan")
     rows = lookup(units.withColumn("leaf", leaf), plan, "leaf", ["whole", "rest", "n"], "n", n)
     key = F.xxhash64(F.lit(mix.seed), F.col("whole"), F.col("doc_id"))
-    bits = F.greatest(F.lit(0), F.least(F.lit(MAX_BITS), F.ceil(F.log2(F.col("n") / SLICE_ROWS)))).cast("int")
+    bits = (F.ceil(F.log2("n") / 2) + MORE_BITS).cast("int")
     rows = rows.withColumns({"key": F.shiftrightunsigned(key, 1), "bits": bits})
     rows = rows.withColumn("slice", F.expr("shiftright(key, 63 - bits)").cast("int")).drop("bits", "n")
     rows = materialise(rows, "mix-rows")

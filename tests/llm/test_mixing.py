@@ -84,8 +84,8 @@ def test_against_brute_force(docs, none):
 
 
 def test_any_number_of_slices(docs, monkeypatch):
-    for rows in (1, 5):
-        monkeypatch.setattr(mixing, "SLICE_ROWS", rows)
+    for bits in (0, 7):
+        monkeypatch.setattr(mixing, "MORE_BITS", bits)
         check(docs, Mix(share=0.7))
 
 
