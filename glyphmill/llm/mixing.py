@@ -124,14 +124,18 @@ def _joined(rows: DataFrame, by_parent: DataFrame, parents: list[str]) -> DataFr
 
 
 def leaf_budgets(leaves: DataFrame, total: int, mix: Mix) -> DataFrame:
-    """``domain, lang, source, tokens`` (a row per leaf) to the same with ``budget``."""
+    """``domain, lang, source, tokens`` (a row per leaf) to the same with ``budget``.
+
+    Each level is written, lest the plan grow by a factor with every one.
+    """
     capped = leaves.withColumn("cap", F.col("tokens") * mix.max_epochs)
     level = capped.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumn("budget", F.lit(total).cast("long"))
-    level = _share_out(level, [], "domain", mix)
+    level = materialise(_share_out(level, [], "domain", mix), "mix-level")
     for depth in (1, 2):
         above, label = LEVELS[:depth], LEVELS[depth]
         below = capped.groupBy(*above, label).agg(F.sum("cap").alias("cap"))
         level = _share_out(below.join(level.select(*above, "budget"), above), above, label, mix)
+        level = materialise(level, "mix-level")
     return leaves.join(level.select(*LEVELS, "budget"), LEVELS)
 
 
