@@ -25,9 +25,8 @@ def sorted_pair(a: Column, b: Column) -> Column:
 def held_candidates(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """``doc_id, terms``: the candidates (column ``term``) of the documents that hold any, sorted."""
     wanted = candidates.select("term").distinct()
-    met = docs.select("doc_id", F.explode(F.array_distinct(corpus.no_nulls(F.col("tokens")))).alias("term")).join(
-        wanted, "term", "left_semi"
-    )
+    terms = corpus.exploded(docs, F.array_distinct(corpus.no_nulls(F.col("tokens"))), "term", "doc_id")
+    met = terms.join(wanted, "term", "left_semi")
     return met.groupBy("doc_id").agg(F.sort_array(F.collect_list("term")).alias("terms"))
 
 

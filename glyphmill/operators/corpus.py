@@ -57,9 +57,31 @@ def count_items(rows: DataFrame, key: str, name: str = "cnt") -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias(name))
 
 
+def inlined(rows: DataFrame, counts: Column, *columns: str | Column) -> DataFrame:
+    """``columns`` beside each entry of an array of ``struct<term, tf>``.
+
+    An inner generator would have Catalyst filter empty arrays out below it, and
+    so compute the array a second time; the outer one's rows without an entry
+    are filtered out above instead.
+    """
+    return rows.select(*columns, F.inline_outer(counts)).where("tf IS NOT NULL")
+
+
+def exploded(rows: DataFrame, items: Column, name: str, *columns: str | Column) -> DataFrame:
+    """``columns`` beside each item of an array, which is computed once as in ``inlined``."""
+    kept = rows.select(*columns, F.posexplode_outer(items).alias("_pos", name)).where("_pos IS NOT NULL")
+    return kept.drop("_pos")
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """``doc_id, pos, term`` of every token."""
+    places = F.posexplode_outer(no_nulls(F.col("tokens"))).alias("pos", "term")
+    return docs.select("doc_id", places).where("pos IS NOT NULL")
+
+
 def term_frequencies(docs: DataFrame) -> DataFrame:
     """``doc_id, term, tf``."""
-    return docs.select("doc_id", F.inline(term_counts(F.col("tokens"))))
+    return inlined(docs, term_counts(F.col("tokens")), "doc_id")
 
 
 def with_counts(docs: DataFrame, *columns: str | Column) -> DataFrame:
@@ -80,13 +102,12 @@ def with_counts(docs: DataFrame, *columns: str | Column) -> DataFrame:
 def postings(docs: DataFrame) -> DataFrame:
     """``doc_id, doc_len, max_tf, term, tf``, without a shuffle."""
     size = F.size(no_nulls(F.col("tokens"))).cast("long").alias("doc_len")
-    return with_counts(docs, "doc_id", size).select("doc_id", "doc_len", "max_tf", F.inline("_counts"))
+    return inlined(with_counts(docs, "doc_id", size), F.col("_counts"), "doc_id", "doc_len", "max_tf")
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
     """``term, df``."""
-    terms = docs.select(F.explode(F.array_distinct(no_nulls(F.col("tokens")))).alias("term"))
-    return count_items(terms, "term", "df")
+    return count_items(exploded(docs, F.array_distinct(no_nulls(F.col("tokens"))), "term"), "term", "df")
 
 
 def term_stats(posted: DataFrame) -> DataFrame:
@@ -123,12 +144,12 @@ def sorted_terms(freqs: DataFrame, count: str = "cnt") -> DataFrame:
 
 
 def unique_terms(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode(no_nulls(F.col("tokens"))).alias("term")).distinct()
+    return exploded(docs, no_nulls(F.col("tokens")), "term").distinct()
 
 
 def vocabulary_first_seen(docs: DataFrame) -> DataFrame:
     """``term, first_doc, first_pos``: where each term occurs first, by document and position."""
-    seen = docs.select("doc_id", F.posexplode(no_nulls(F.col("tokens"))).alias("pos", "term"))
+    seen = placed(docs)
     first = F.min(F.struct("doc_id", "pos")).alias("at")
     return seen.groupBy("term").agg(first).select(
         "term", F.col("at.doc_id").alias("first_doc"), F.col("at.pos").alias("first_pos")
@@ -160,9 +181,7 @@ def _ahead(w: WindowSpec) -> WindowSpec:
 
 def extend_vocabulary(vocab: DataFrame, docs: DataFrame) -> DataFrame:
     """``vocab`` with the terms of further documents, numbered on by first occurrence."""
-    new = docs.select(
-        "doc_id", F.posexplode(no_nulls(F.col("tokens"))).alias("pos", "term")
-    ).join(vocab.select("term"), "term", "left_anti")
+    new = placed(docs).join(vocab.select("term"), "term", "left_anti")
     held = new.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("t"))
     own = held.select("doc_id", F.transform("t", lambda x: x["term"]).alias("tokens"))
     size = F.broadcast(vocab.agg((F.coalesce(F.max("term_id"), F.lit(-1)) + 1).alias("size")))  # one row
@@ -219,11 +238,11 @@ def keyword_scores(docs: DataFrame, method: str = "tfidf", by: list[str] | None
     """``[by,] term, score`` of every term of the corpus, or of each group of ``by``."""
     by = by or []
     if method.lower() == "freq":
-        terms = docs.select(*by, F.explode(no_nulls(F.col("tokens"))).alias("term"))
+        terms = exploded(docs, no_nulls(F.col("tokens")), "term", *by)
         return terms.groupBy(*by, "term").agg(F.count(F.lit(1)).cast("double").alias("score"))
     if method.lower() != "tfidf":
         return docs.select(*by, F.lit("").alias("term"), F.lit(0.0).alias("score")).limit(0)
-    posted = with_counts(docs, *by).select(*by, "max_tf", F.inline("_counts"))
+    posted = inlined(with_counts(docs, *by), F.col("_counts"), *by, "max_tf")
     weight = 0.5 + 0.5 * F.try_divide(F.col("tf").cast("double"), F.col("max_tf"))
     # the idf is the same for all of a term's documents: one aggregation has both
     sums = posted.groupBy(*by, "term").agg(F.sum(weight).alias("weight"), F.count(F.lit(1)).alias("df"))
@@ -250,7 +269,7 @@ def extract_keywords(docs: DataFrame, top_n: int = 10, method: str = "tfidf", by
 
 def ngram_frequencies(docs: DataFrame, n: int) -> DataFrame:
     """``gram array<string>, cnt`` over the corpus."""
-    return count_items(docs.select(F.explode(windows(F.col("tokens"), n)).alias("gram")), "gram")
+    return count_items(exploded(docs, windows(F.col("tokens"), n), "gram"), "gram")
 
 
 def top_ngrams(docs: DataFrame, n: int, k: int = 10) -> DataFrame:

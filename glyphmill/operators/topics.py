@@ -196,7 +196,7 @@ def fit_lda(
         empty = spark.createDataFrame([], ASSIGNMENTS)
         return LdaModel(docs.limit(0), empty, max(0, num_topics), alpha, beta, iterations, seed)
     _check(alpha, beta, iterations)
-    tokens = docs.select("doc_id", F.posexplode(corpus.no_nulls(F.col("tokens"))).alias("pos", "term"))
+    tokens = corpus.placed(docs)
     if mode == "exact":
         n = tokens.count()
         if n > EXACT_TOKENS:
@@ -277,7 +277,7 @@ def fold_in(model: LdaModel, docs: DataFrame, iterations: int = 100, seed: int =
     _check(alpha, model.beta, iterations)
     base = seed or model.seed
     phi = model.phi().groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("topic", "p"))), lambda x: x["p"]).alias("phi"))
-    tokens = docs.select("doc_id", F.posexplode(corpus.no_nulls(F.col("tokens"))).alias("pos", "term"))
+    tokens = corpus.placed(docs)
 
     def sample(doc: pa.Table) -> pa.Table:
         words = doc.column("phi").to_pylist()
@@ -310,6 +310,6 @@ def fold_in(model: LdaModel, docs: DataFrame, iterations: int = 100, seed: int =
 
 def deterministic_assignments(docs: DataFrame, num_topics: int) -> DataFrame:
     """Assignments by a fixed rule, for checking the relations without a sampler."""
-    tokens = docs.select("doc_id", F.posexplode(corpus.no_nulls(F.col("tokens"))).alias("pos", "term"))
+    tokens = corpus.placed(docs)
     topic = F.pmod(F.col("doc_id") * 31 + F.col("pos") + F.octet_length("term") * 7, F.lit(num_topics)).cast("int")
     return tokens.withColumn("topic", topic)

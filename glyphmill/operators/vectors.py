@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions.tokenize import Tokenizer  # noqa: F401  (part of this module's surface)
-from glyphmill.operators.corpus import let, no_nulls, sorted_runs
+from glyphmill.operators.corpus import exploded, let, no_nulls, sorted_runs
 from glyphmill.operators.similarity import map_cosine, map_norm
 
 EMPTY = "map<bigint,double>"
@@ -115,7 +115,7 @@ class HashingVectorizer:
 
     def entries(self, docs: DataFrame) -> DataFrame:
         """``doc_id, bucket, value``: sums per bucket, cancelled ones left out."""
-        terms = docs.select("doc_id", F.explode(no_nulls(F.col("tokens"))).alias("term"))
+        terms = exploded(docs, no_nulls(F.col("tokens")), "term", "doc_id")
         delta = hash_sign(F.col("term"), self.hash_fn) if self.signed else F.lit(1.0)
         return (
             terms.groupBy("doc_id", hash_bucket(F.col("term"), self.dim, self.hash_fn).alias("bucket"))

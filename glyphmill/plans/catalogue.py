@@ -157,7 +157,7 @@ def _stopword_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stopword_flags")
 def _stopword_flags(spark: SparkSession, sf: str) -> DataFrame:
-    words = _raw_tokens(spark, sf).select("lang", F.explode("tokens").alias("word")).distinct()
+    words = corpus.exploded(_raw_tokens(spark, sf), F.col("tokens"), "word", "lang").distinct()
     return words.select("lang", "word", stopwords.is_stop_word(F.col("word"), F.col("lang")).alias("is_stop"))
 
 
@@ -229,7 +229,7 @@ def _idf(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sorted_terms")
 def _sorted_terms(spark: SparkSession, sf: str) -> DataFrame:
-    terms = docs_of(spark, sf).select(F.explode("tokens").alias("term"))
+    terms = corpus.exploded(docs_of(spark, sf), F.col("tokens"), "term")
     return corpus.sorted_terms(corpus.count_items(terms, "term"))
 
 
@@ -488,7 +488,7 @@ def _lda_fold_in(spark: SparkSession, sf: str) -> DataFrame:
     model = _fitted(spark, sf)
     turns = read_table(spark, sf, "conversations")
     docs = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), tokenize.word_tokens(F.col("text")).alias("tokens"))
-    known = docs.select("doc_id", F.explode("tokens").alias("term")).join(model.vocabulary(), "term")
+    known = corpus.exploded(docs, F.col("tokens"), "term", "doc_id").join(model.vocabulary(), "term")
     n = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     shares = topics.fold_in(model, docs).join(n, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     low = model.alpha / (F.col("n") + TOPICS * model.alpha)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.normalize import Step
 from glyphmill.functions.tokenize import Tokenizer
-from glyphmill.operators.corpus import no_nulls, term_counts
+from glyphmill.operators.corpus import exploded, inlined, no_nulls, term_counts
 
 
 def tokenized_stream(stream: DataFrame, text: str, tokenizer: Tokenizer, pipeline: Step | None = None) -> DataFrame:
@@ -18,15 +18,14 @@ def tokenized_stream(stream: DataFrame, text: str, tokenizer: Tokenizer, pipelin
 
 def running_term_counts(stream: DataFrame) -> DataFrame:
     """``term, cf, df`` so far, for update or complete mode."""
-    each = stream.select(F.inline(term_counts(F.col("tokens"))))
+    each = inlined(stream, term_counts(F.col("tokens")))
     return each.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
 
 
 def windowed_term_counts(stream: DataFrame, ts: str, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
     """``window, term, cf`` with a watermark, for append mode."""
     return (
-        stream.withWatermark(ts, late)
-        .select(ts, F.explode(no_nulls(F.col("tokens"))).alias("term"))
+        exploded(stream.withWatermark(ts, late), no_nulls(F.col("tokens")), "term", ts)
         .groupBy(F.window(ts, width).alias("window"), "term")
         .agg(F.count(F.lit(1)).alias("cf"))
     )

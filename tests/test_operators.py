@@ -246,3 +246,14 @@ def test_topics_separate(corpus_of):
         folded = topics.fold_in(model, corpus_of(["cat", "bird", "zzz"], ["loop"] * 4, ["zzz"]), 40)
         p = {(r.doc_id, r.topic): r.p for r in folded.collect()}
         assert p[0, first[1]] > 0.9 and p[1, first[0]] > 0.9 and p[2, 0] == p[2, 1] == 0.5
+
+
+def test_counts_are_computed_once(spark, tmp_path):
+    spark.createDataFrame([(1, "b a b"), (2, ""), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "texts"))
+    docs = spark.read.parquet(str(tmp_path / "texts")).select("doc_id", tokenize.word_tokens(F.col("text")).alias("tokens"))
+    for made in (corpus.postings(docs), corpus.document_frequency(docs), corpus.placed(docs), corpus.term_frequencies(docs)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1
+    assert rows(corpus.placed(docs), "doc_id", "pos", "term") == [(1, 0, "b"), (1, 1, "a"), (1, 2, "b")]
+    nulls = spark.createDataFrame([(1, ["a", None])], "doc_id long, tokens array<string>")
+    assert corpus.placed(nulls).count() == 2 and corpus.unique_terms(nulls).count() == 2
