@@ -257,3 +257,28 @@ def test_counts_are_computed_once(spark, tmp_path):
     assert rows(corpus.placed(docs), "doc_id", "pos", "term") == [(1, 0, "b"), (1, 1, "a"), (1, 2, "b")]
     nulls = spark.createDataFrame([(1, ["a", None])], "doc_id long, tokens array<string>")
     assert corpus.placed(nulls).count() == 2 and corpus.unique_terms(nulls).count() == 2
+
+
+def test_lda_in_blocks(spark, corpus_of, monkeypatch):
+    docs = corpus_of(*[[f"w{(i * j) % 11}" for j in range(i % 9)] for i in range(40)], None, ["a"] * 50)
+
+    def sampled():
+        model = topics.fit_lda(docs, 3, 2, mode="distributed")
+        folded = topics.fold_in(model, docs.select((F.col("doc_id") + 100).alias("doc_id"), "tokens"), 5)
+        return rows(model.assignments, "doc_id", "pos", "term", "topic"), rows(folded, "doc_id", "topic", "p")
+
+    whole = sampled()
+    assert len(whole[0]) == sum(i % 9 for i in range(40)) + 50 and len(whole[1]) == 42 * 3
+    # neither the blocks nor the way that a token is drawn matter
+    for names in ({"BLOCK": 7, "FOLD_BLOCK": 5}, {"FEW": 1}, {"FEW": 1000}):
+        for name, value in names.items():
+            monkeypatch.setattr(topics, name, value)
+        assert sampled() == whole
+
+
+def test_no_token_is_joined_to_its_counts(spark, corpus_of):
+    model = topics.fit_lda(corpus_of(*ANIMALS), 2, 1, mode="distributed")
+    folded = topics.fold_in(model, corpus_of(*ANIMALS), 2)
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "posexplode" not in plan
+    assert model.rows.count() == 5
