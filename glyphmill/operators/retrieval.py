@@ -4,7 +4,9 @@
 scratch folder: ``postings (doc_id, doc_len, max_tf, term, tf)``, each file in
 the order of its terms, ``terms (term, df, cf, idf)`` and, for cosine models,
 ``norms (doc_id, norm)``. No posting is shuffled for that unless the terms
-outgrow a broadcast. A search joins the query's terms to the postings, so that
+outgrow a broadcast; norms look common terms up in a broadcast of bounded size,
+so that only the postings of rare terms are shuffled. A model fitted with
+``search=False`` has terms alone, which is all that ``transform`` needs. A search joins the query's terms to the postings, so that
 documents without any of them are never touched, sums by document and ranks. A
 single query's terms are literals that reach the postings' Parquet scan as an
 ``IN`` filter, which row groups and pages outside their range pass; a table of
@@ -14,9 +16,11 @@ queries is joined by term, broadcast by Spark when it is small.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, fields
 from typing import ClassVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +30,8 @@ from glyphmill.sources.tables import load_relations, load_settings, save_relatio
 
 K1, B = 1.2, 0.75
 HALF = 0.5
+#: Postings that are sorted at once, and terms of a broadcast at most.
+RUN, HEAVY = 500_000, 65_536
 RESULT = "qid long, rank int, doc_id long, score double"
 
 
@@ -61,7 +67,12 @@ class _Model:
     def _settings(self) -> dict:
         return {"num_docs": self.num_docs}
 
+    def _searchable(self) -> None:
+        if self.postings is None:
+            raise ValueError("the model was fitted without postings; fit it with search=True")
+
     def save(self, path: str) -> None:
+        self._searchable()
         save_relations(path, **{name: getattr(self, name) for name in self.relations})
         save_settings(self.postings.sparkSession, path, self._settings())
 
@@ -74,12 +85,14 @@ class _Model:
 
     def search_batch(self, queries: DataFrame, top_k: int | None = 5, digits: int | None = None) -> DataFrame:
         """Ranked hits for each row of ``queries (qid, tokens)``."""
+        self._searchable()
         if (top_k is not None and top_k <= 0) or self.num_docs == 0:
             return self.postings.sparkSession.createDataFrame([], RESULT)
         return rank(self.scores(queries), top_k, digits)
 
     def search(self, tokens: list[str], top_k: int | None = 5, digits: int | None = None) -> DataFrame:
         """Ranked hits for one query: ``rank, doc_id, score``."""
+        self._searchable()
         spark = self.postings.sparkSession
         queries = spark.createDataFrame([(0, list(tokens))], "qid long, tokens array<string>")
         return self._narrowed(sorted(set(tokens))).search_batch(queries, top_k, digits).drop("qid")
@@ -92,13 +105,39 @@ class _Model:
         return type(self)(**own | {"postings": self.postings.where(F.col("term").isin(*terms))})
 
 
+def _in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in runs of about ``RUN``, each sorted by term."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= RUN:
+            yield from pa.Table.from_batches(held).sort_by("term").to_batches(max_chunksize=50_000)
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).sort_by("term").to_batches(max_chunksize=50_000)
+
+
 def written_postings(docs: DataFrame) -> DataFrame:
-    """The postings of ``docs``, in a table whose files are sorted by term."""
-    return materialise(corpus.postings(docs).sortWithinPartitions("term"), "postings")
+    """The postings of ``docs``, in a table whose files hold runs sorted by term.
+
+    A page of a run covers few terms, as a page of a sorted file does, and no
+    task sorts, and so spills, all of its postings.
+    """
+    posted = corpus.postings(docs)
+    return materialise(posted.mapInArrow(_in_runs, posted.schema), "postings")
+
+
+def _fitted_postings(docs: DataFrame, search: bool) -> tuple[DataFrame | None, DataFrame]:
+    """Written postings if they are to be searched, and those to count terms from."""
+    written = written_postings(docs) if search else None
+    return written, written if search else corpus.term_frequencies(docs)
 
 
 def _cosine_scores(query: DataFrame, postings: DataFrame, weight: Column, norms: DataFrame) -> DataFrame:
     """``query (qid, term, w, ...)`` against ``postings`` that weigh ``weight``."""
+    query = materialise(query, "query")  # of known size, so that a small one is broadcast and no posting shuffled
     q_norms = query.groupBy("qid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q_norm"))
     dots = query.join(postings, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("w") * weight).alias("dot"))
     return (
@@ -108,6 +147,27 @@ def _cosine_scores(query: DataFrame, postings: DataFrame, weight: Column, norms:
     )
 
 
+def _with_idf(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """``postings`` with the ``idf`` of their terms.
+
+    The commonest terms, by powers of two of ``df`` and ``HEAVY`` at most, are
+    broadcast; the postings of the others are joined by term.
+    """
+    power = F.floor(F.log2(F.col("df").cast("double"))).cast("int")
+    powers = terms.groupBy(power.alias("power")).count().collect()  # one row for each power of two
+    held, least = 0, 64
+    for row in sorted(powers, key=lambda r: -r["power"]):
+        held += row["count"]
+        if held > HEAVY:
+            break
+        least = row["power"]
+    idf = terms.select("term", "idf")
+    common, rare = (idf.where((power >= least) if heavy else (power < least)) for heavy in (True, False))
+    marked = postings.join(F.broadcast(common), "term", "left")
+    rest = marked.where("idf IS NULL").drop("idf").join(rare, "term")
+    return marked.where("idf IS NOT NULL").unionByName(rest)
+
+
 def _norms(postings: DataFrame, weight: Column) -> DataFrame:
     return materialise(postings.groupBy("doc_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm")), "norms")
 
@@ -123,10 +183,11 @@ class CountModel(_Model):
     num_docs: int
 
     @classmethod
-    def fit(cls, docs: DataFrame) -> CountModel:
-        posted = written_postings(docs)
+    def fit(cls, docs: DataFrame, search: bool = True) -> CountModel:
+        written, posted = _fitted_postings(docs, search)
         terms = materialise(corpus.term_stats(posted), "terms")
-        return cls(posted, terms, _norms(posted, F.col("tf").cast("double")), docs.count())
+        norms = _norms(written, F.col("tf").cast("double")) if search else None
+        return cls(written, terms, norms, docs.count())
 
     def transform(self, docs: DataFrame) -> DataFrame:
         """``doc_id, term, weight``: counts of the terms that the model knows."""
@@ -157,13 +218,13 @@ class TfidfModel(_Model):
     num_docs: int
 
     @classmethod
-    def fit(cls, docs: DataFrame) -> TfidfModel:
+    def fit(cls, docs: DataFrame, search: bool = True) -> TfidfModel:
         n = docs.count()
-        posted = written_postings(docs)
+        written, posted = _fitted_postings(docs, search)
         terms = corpus.term_stats(posted).withColumn("idf", corpus.idf_smoothed(F.col("df"), F.lit(n)))
         terms = materialise(terms, "terms")
         weight = augmented_weight(F.col("tf"), F.col("max_tf"), F.col("idf"))
-        return cls(posted, terms, _norms(posted.join(terms.select("term", "idf"), "term"), weight), n)
+        return cls(written, terms, _norms(_with_idf(written, terms), weight) if search else None, n)
 
     def _weighted(self, rows: DataFrame, tf: str, top: str) -> DataFrame:
         weight = augmented_weight(F.col(tf), F.col(top), F.col("idf"))
@@ -227,10 +288,9 @@ class Bm25Model(_Model):
         tf, qf = F.col("tf").cast("double"), F.col("qf").cast("double")
         length = 1 - b + b * (F.col("doc_len") / F.lit(self.avg_len))
         part = F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * length) * (qf * (k1 + 1)) / (qf + k1)
+        query = materialise(query_terms(queries).join(self.terms.select("term", "idf"), "term"), "query")
         return (
-            query_terms(queries)
-            .join(self.terms.select("term", "idf"), "term")
-            .join(self.postings.select("doc_id", "doc_len", "term", "tf"), "term")
+            query.join(self.postings.select("doc_id", "doc_len", "term", "tf"), "term")
             .groupBy("qid", "doc_id")
             .agg(F.sum(part).alias("score"))
         )

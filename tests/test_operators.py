@@ -2,6 +2,7 @@ import math
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,3 +283,55 @@ def test_no_token_is_joined_to_its_counts(spark, corpus_of):
     plan = folded._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "posexplode" not in plan
     assert model.rows.count() == 5
+
+
+def test_grams_are_grouped_as_strings(spark, corpus_of):
+    docs = corpus_of("a b a b c".split(), ["a"], [], None, ["b", "a"])
+    for n in (1, 2, 3, 0):
+        made = corpus.joined_ngram_frequencies(docs, n)
+        whole = corpus.ngram_frequencies(docs, n).select(F.array_join("gram", " ").alias("gram"), "cnt")
+        assert rows(made, "gram", "cnt") == rows(whole, "gram", "cnt")
+    assert dict(made.dtypes)["gram"] == "string"
+
+
+def test_runs_of_postings_are_sorted(corpus_of, monkeypatch):
+    batches = [pa.RecordBatch.from_pydict({"term": list(t), "doc_id": list(range(len(t)))}) for t in ("cab", "zay", "b")]
+    monkeypatch.setattr(retrieval, "RUN", 4)
+    got = ["".join(b.column("term").to_pylist()) for b in retrieval._in_runs(iter(batches))]
+    assert got == ["aabcyz", "b"]
+    plan = retrieval.written_postings(corpus_of(["b", "a"]))
+    assert rows(plan, "doc_id", "term") == [(0, "a"), (0, "b")]
+
+
+@pytest.mark.parametrize("heavy", [0, 2, 65_536])
+def test_norms_of_common_and_rare_terms(spark, corpus_of, monkeypatch, heavy):
+    monkeypatch.setattr(retrieval, "HEAVY", heavy)
+    docs = corpus_of(*[["the", *(["x"] if i % 2 else []), f"w{i}", f"w{i}"] for i in range(9)])
+    model = retrieval.TfidfModel.fit(docs)
+    idf = {r.term: r.idf for r in model.terms.collect()}
+    expected = {}
+    for r in model.postings.collect():
+        w = (0.5 + 0.5 * r.tf / r.max_tf) * idf[r.term]
+        expected[r.doc_id] = expected.get(r.doc_id, 0.0) + w * w
+    assert {r.doc_id: r.norm for r in model.norms.collect()} == {d: pytest.approx(math.sqrt(s)) for d, s in expected.items()}
+
+
+def test_transform_needs_terms_only(corpus_of, monkeypatch):
+    docs, more = corpus_of(["cat", "sat"], [], ["dog", "sat", "sat"]), corpus_of(["sat", "bird", "bird"])
+    whole = {kind: kind.fit(docs) for kind in (retrieval.CountModel, retrieval.TfidfModel)}
+    monkeypatch.setattr(retrieval, "written_postings", None)
+    for kind, model in whole.items():
+        light = kind.fit(docs, search=False)
+        assert light.postings is None and light.norms is None
+        assert rows(light.transform(more), "doc_id", "term", "weight") == rows(model.transform(more), "doc_id", "term", "weight")
+        with pytest.raises(ValueError):
+            light.search(["cat"])
+
+
+def test_no_posting_is_shuffled_for_a_small_table_of_queries(spark, corpus_of):
+    model = retrieval.Bm25Model.fit(corpus_of(["a", "b"], ["b", "c"]))
+    queries = spark.createDataFrame([(7, ["b", "a"])], "qid long, tokens array<string>")
+    scores = model.scores(queries)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and plan.count("FileScan") == 2
+    assert scores.count() == 2
