@@ -335,3 +335,14 @@ def test_no_posting_is_shuffled_for_a_small_table_of_queries(spark, corpus_of):
     plan = scores._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and plan.count("FileScan") == 2
     assert scores.count() == 2
+
+
+def test_perplexity_inside_rows(corpus_of):
+    docs = corpus_of(*ANIMALS)
+    state = topics.deterministic_assignments(docs, 3)
+    made = topics.deterministic_rows(docs, 3)
+    assert rows(topics._exploded(made), "doc_id", "pos", "term", "topic") == rows(state, "doc_id", "pos", "term", "topic")
+    by_row = topics.LdaModel(docs, state, 3, 0.1, 0.01, 1, 0, made)
+    joined = topics.LdaModel(docs, state, 3, 0.1, 0.01, 1, 0)
+    assert by_row.perplexity().first()[0] == pytest.approx(joined.perplexity().first()[0])
+    assert "[doc_id" not in by_row.perplexity()._jdf.queryExecution().executedPlan().toString().split("hashpartitioning", 1)[-1]
