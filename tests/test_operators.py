@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.functions import tokenize
+from glyphmill.functions import stem, tokenize
 from glyphmill.operators import coherence, corpus, retrieval, similarity, topics, vectors
 
 
@@ -346,3 +346,13 @@ def test_perplexity_inside_rows(corpus_of):
     joined = topics.LdaModel(docs, state, 3, 0.1, 0.01, 1, 0)
     assert by_row.perplexity().first()[0] == pytest.approx(joined.perplexity().first()[0])
     assert "[doc_id" not in by_row.perplexity()._jdf.queryExecution().executedPlan().toString().split("hashpartitioning", 1)[-1]
+
+
+def test_stem_counts_need_no_shuffle(corpus_of, monkeypatch):
+    docs = corpus_of(["running", "runs", "cats", "runs"], [], ["cat", "cats"])
+    posted = stem.stem_postings(corpus.term_frequencies(docs)).groupBy("doc_id", "stem").agg(F.sum("tf").alias("tf"))
+    for memo in (500_000, 1):
+        monkeypatch.setattr(stem, "MEMO", memo)
+        made = stem.stem_counts(docs.select("doc_id", corpus.term_counts(F.col("tokens")).alias("counts")))
+        assert rows(made, "doc_id", "stem", "tf") == rows(posted, "doc_id", "stem", "tf")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
