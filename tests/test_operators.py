@@ -356,3 +356,12 @@ def test_stem_counts_need_no_shuffle(corpus_of, monkeypatch):
         made = stem.stem_counts(docs.select("doc_id", corpus.term_counts(F.col("tokens")).alias("counts")))
         assert rows(made, "doc_id", "stem", "tf") == rows(posted, "doc_id", "stem", "tf")
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_places_need_no_sort_and_large_keys_are_exact(spark):
+    table = [(1 << 61, ["b", "a"]), (-5, ["c", "c", "a"]), (7, ["b", None])]
+    docs = spark.createDataFrame(table, "doc_id long, tokens array<string>")
+    first = corpus.vocabulary_first_seen(docs)
+    assert rows(first.where("term IS NOT NULL"), "term", "first_doc", "first_pos") == [("a", -5, 2), ("b", 7, 0), ("c", -5, 0)]
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
