@@ -365,3 +365,12 @@ def test_first_places_need_no_sort_and_large_keys_are_exact(spark):
     assert rows(first.where("term IS NOT NULL"), "term", "first_doc", "first_pos") == [("a", -5, 2), ("b", 7, 0), ("c", -5, 0)]
     plan = first._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_pairs_are_made_in_slices(spark, corpus_of):
+    left = corpus.term_frequencies(corpus_of(*[["a", f"w{i % 3}", "b"] for i in range(20)], ["zz"]))
+    right = corpus.term_frequencies(corpus_of(["a", "w1"], ["q"], ["w2", "w2"])).withColumnRenamed("doc_id", "item_id")
+    whole = similarity.cosine_between(left, right, "doc_id", "item_id")
+    sliced = similarity.cosine_between(left, right, "doc_id", "item_id", 7)
+    assert rows(sliced, "doc_id", "item_id", "cosine") == rows(whole, "doc_id", "item_id", "cosine")
+    assert "REPARTITION_BY_NUM" in sliced._jdf.queryExecution().executedPlan().toString()
