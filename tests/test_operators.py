@@ -2,6 +2,7 @@ import math
 import re
 import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -337,6 +338,49 @@ def test_no_posting_is_shuffled_for_a_small_table_of_queries(spark, corpus_of):
     assert scores.count() == 2
 
 
+BATCH = [(7, ["b", "a"]), (9, ["the", "w3", "w3", "x"]), (-2, ["zzz"]), (12, ["the"]), (30, ["x", "b", "the"])]
+
+
+@pytest.mark.parametrize("kind", [retrieval.CountModel, retrieval.TfidfModel, retrieval.Bm25Model])
+@pytest.mark.parametrize("small", [False, True])
+def test_batches_by_slices_have_the_ranks_of_all_pairs(spark, corpus_of, monkeypatch, kind, small):
+    if small:  # many slices and blocks, a few pairs at once
+        for name, n in (("ASKED", 2), ("ASKED_TERMS", 3), ("SLICE", 5), ("PAIRS", 4)):
+            monkeypatch.setattr(retrieval, name, n)
+    docs = [["the", *(["x"] if i % 2 else []), *["b"] * (i % 4), f"w{i % 5}"] for i in range(40)]
+    model = kind.fit(corpus_of(*docs, [], ["a"], *[["b", "the", "the"]] * 9))
+    queries = spark.createDataFrame(BATCH, "qid long, tokens array<string>")
+    columns = "qid", "rank", "doc_id", "score"
+    for top_k, digits in ((3, 1), (None, 6)):
+        every = rows(retrieval.rank(model.scores(queries), top_k, digits), *columns)
+        assert rows(model.search_batch(queries, top_k, digits), *columns) == every
+    ties = rows(model.search_batch(queries, 4), *columns[:3])
+    assert ties == rows(retrieval.rank(model.scores(queries), 4, 12), *columns[:3])
+    assert model.search_batch(queries.where("qid < 0"), 3).count() == 0
+    assert model.search_batch(queries, 0).count() == 0
+
+
+def test_a_batch_neither_shuffles_nor_groups_pairs(spark, corpus_of):
+    queries = spark.createDataFrame(BATCH, "qid long, tokens array<string>")
+    for kind in (retrieval.TfidfModel, retrieval.Bm25Model):
+        hits = kind.fit(corpus_of(*[["the", "x", "b"]] * 50)).search_batch(queries, 2, 6)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate(keys=[qid" not in plan and "FlatMapCoGroupsInArrow" in plan
+    # a slice gives no more than the best
+    postings = pa.table({"doc_id": list(range(50)), "no": [0] * 50, "w": [1.0 + i % 5 for i in range(50)]})
+    asked = pa.table({"qid": [3, 4], "no": [0, 0], "w": [1.0, 2.0]})
+    best = retrieval._best_of_slice(2, 6, cosine=False)((), postings, asked).to_pylist()
+    assert sorted(tuple(r.values()) for r in best) == [(3, 4, 5.0), (3, 9, 5.0), (4, 4, 10.0), (4, 9, 10.0)]
+
+
+def test_bounds_of_rounded_scores(spark):
+    scores = [0.0, 0.05, 0.15, 0.25, 0.349999, 0.35, 0.35000001, 1.005, 2.5, 7e12 + 0.05]
+    made = spark.createDataFrame([(x,) for x in scores], "x double").select(F.round("x", 1)).collect()
+    low, high = retrieval._bounds(np.asarray(scores), 1)
+    assert all(a - 0.01 <= r[0] * 10 <= b + 0.01 for a, b, r in zip(low, high, made, strict=True))
+    assert (low == high).sum() >= 3
+
+
 def test_perplexity_inside_rows(corpus_of):
     docs = corpus_of(*ANIMALS)
     state = topics.deterministic_assignments(docs, 3)
