@@ -278,6 +278,30 @@ def test_lda_in_blocks(spark, corpus_of, monkeypatch):
         assert sampled() == whole
 
 
+def test_steps_draw_what_single_tokens_draw(monkeypatch):
+    rng = np.random.default_rng(4)
+    offsets = np.concatenate([[0], np.cumsum([3, 0, 9, 1, 7, 12])])
+    weight, words = rng.random((4, 3)), rng.integers(0, 4, offsets[-1])
+    z, u = rng.integers(0, 3, offsets[-1]), rng.random(offsets[-1])
+    expected = z.copy()
+    for begin, end in zip(offsets[:-1], offsets[1:], strict=True):
+        for t in range(begin, end):
+            own = np.bincount(expected[begin:end], minlength=3) - np.eye(3)[expected[t]] + 0.5
+            expected[t] = topics._draw((own * weight[words[t]]).tolist(), u[t])
+    for few in (1, 3, 100):
+        monkeypatch.setattr(topics, "FEW", few)
+        steps = topics._Steps(offsets, 3, 0.5)
+        drawn, of = z[steps.order], words[steps.order]
+        mine = steps.counts(drawn)
+        assert mine.shape == (3, 6)  # a row for each topic
+        steps.sweep(
+            drawn, u[steps.order], mine,
+            lambda begin, end, own, m: m * weight.T[:, of[begin:end]],
+            lambda t, own, m: [x * w for x, w in zip(m, weight[of[t]].tolist(), strict=True)],
+        )
+        assert (drawn == expected[steps.order]).all() and (mine == steps.counts(drawn)).all()
+
+
 def test_no_token_is_joined_to_its_counts(spark, corpus_of):
     model = topics.fit_lda(corpus_of(*ANIMALS), 2, 1, mode="distributed")
     folded = topics.fold_in(model, corpus_of(*ANIMALS), 2)
